@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, tokcount, tokenstore
+from . import bpe, chat, decontam, langid, secrets, tokcount, tokenstore
+from ._util import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,19 @@ def _words() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.read_back(chat.format_chats(rows.unionByName(more)))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+    return got.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokcount.count_tokens(_table(spark, sf_dir, "documents"), _words())
 
@@ -37,10 +51,64 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store_and_read(_table(spark, sf_dir, "documents"), _words(), end_id=2)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    got = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return got.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs, crc_mod("doc_id", 3) != 1)
+    got = langid.predict(docs, model)
+    return got.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op3_decontamination": op3_decontamination,
     "op5_token_counts": op5_token_counts,
     "op7_bpe": op7_bpe,
+    "op8_secrets": op8_secrets,
     "op9_token_store": op9_token_store,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS3 = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) AS body, length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) AS head FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + head + 2 + body + 8) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+""",
+    "op3_decontamination": f"""
+WITH iw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS3} AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS l, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS k
+        FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM iw WHERE len(w) > 0)),
+dw AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS3}, []) AS w FROM documents),
+pos AS (SELECT r, l, i, array_to_string(w[i:i + l - 1], ' ') AS k
+        FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM dw, (SELECT DISTINCT l FROM win) WHERE len(w) >= l)),
+hit AS (SELECT r, item, l, i FROM pos JOIN win USING (l, k)),
+hw AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS p FROM hit) GROUP BY r),
+hi AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
+""",
+}
