@@ -119,7 +119,7 @@ def _fast_spec(spec: dict) -> bool:
 class PieceCoder:
     """Encodes white-space chunks to ids, each distinct one once while it is in the cache."""
 
-    def __init__(self, path: str, max_chunks: int = 1_000_000):
+    def __init__(self, path: str, max_chunks: int = 600_000):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
