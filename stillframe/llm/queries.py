@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, neardup, secrets, tokcount, tokenstore
+from . import bpe, chat, ctw, decontam, embed, langid, neardup, secrets, tokcount, tokenstore
 from ._util import crc_mod
 
 
@@ -37,10 +37,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op4_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokcount.count_tokens(_table(spark, sf_dir, "documents"), _words())
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ctw.score(_table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return got.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe.encode_decode(_table(spark, sf_dir, "documents"), _words())
     return got.select(
@@ -78,7 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_decontamination": op3_decontamination,
+    "op4_embedding_duplicates": op4_embedding_duplicates,
     "op5_token_counts": op5_token_counts,
+    "op6_language_model": op6_language_model,
     "op7_bpe": op7_bpe,
     "op8_secrets": op8_secrets,
     "op9_token_store": op9_token_store,
@@ -129,5 +140,17 @@ hi AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ite
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
+""",
+    "op4_embedding_duplicates": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND list_dot_product(e, e) > 0 AND isfinite(list_dot_product(e, e)) AND len(e) = list_count(e)),
+link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)
 """,
 }
