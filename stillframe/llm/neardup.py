@@ -3,10 +3,12 @@
 1. One map-only pass: lower-case words, distinct word shingles as 64-bit hashes, `bands * rows` universal hash minima,
    a key per band, a one-byte sketch per minimum, and a digest of the word sequence. Rows with the same digest are one
    class; its smallest doc_id stands for it in all later steps.
-2. Classes that share a band key are candidates. A bucket never emits all its pairs: its members are compared with a
-   leader, links join components, and only members of different components go on, with another leader; what is left
-   when few pairs remain is compared in full. That loses no link between components and stays linear for groups of
-   copies of any size.
+2. Classes that share a band key are candidates. First every member of a bucket is compared with the bucket's leader;
+   links join components. Where a bucket still holds several components, each pair of members of different components
+   is compared inside tasks: the members outside the leader's component, in blocks of `block` rows by hash, meet each
+   other's and the leader's component's blocks. So a bucket of copies of any size costs a comparison per member, no
+   pair rows are made beyond the leaders', and no link between components is lost. A pair that shares several buckets
+   is compared in the first one only, and a block returns a spanning forest of its links.
 3. A candidate pair passes if its sketches agree often enough (seven standard deviations below the threshold's mean),
    then if its full shingle sets meet the threshold exactly. Sets are rebuilt for the documents concerned only, found
    through a bitmap of fixed size.
@@ -121,104 +123,161 @@ def _signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>, sketch binary")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int, count: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    spark = docs.sparkSession
+def _least(percent: int, count: int) -> int:
+    """Agreeing minima that a pair at the threshold misses by seven standard deviations."""
     j = percent / 100
-    least = int(count * j - 7 * (count * j * (1 - j)) ** 0.5)
-    left = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    return int(count * j - 7 * (count * j * (1 - j)) ** 0.5)
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            ok = (x == y).sum(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    found = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long").distinct()
-    found = scratch.save(found, "alike")
-    who = found.select(F.explode(F.array("a", "b")).alias("doc_id")).withColumn("x", F.pmod(F.xxhash64("doc_id"), F.lit(_BITS)))
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and hashes (sorted, 8 bytes each) of at least the documents in ids, by one map-only scan."""
+    spark = docs.sparkSession
+    x = F.pmod(F.xxhash64("doc_id"), F.lit(_BITS))
     bits = np.zeros(_BITS // 8, np.uint8)
-    for r in who.groupBy(F.expr("bitmap_bucket_number(x + 1)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x + 1))").alias("bits")).collect():  # 1024 rows of 4 kB at most
+    who = ids.select(x.alias("x")).groupBy(F.expr("bitmap_bucket_number(x + 1)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x + 1))").alias("bits"))
+    for r in who.collect():  # 1024 rows of 4 kB at most
         bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]).ljust(4096, b"\0"), np.uint8)
     shared = spark.sparkContext.broadcast(bits)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = shared.value
         for batch in slices(batches, "__text", 4 << 20):
-            x = batch.column(batch.schema.get_field_index("x")).to_numpy()
-            batch = batch.filter(pa.array(((mask[x >> 3] >> (x & 7).astype(np.uint8)) & 1).astype(bool)))
+            at = batch.column(batch.schema.get_field_index("x")).to_numpy()
+            batch = batch.filter(pa.array(((mask[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
             if batch.num_rows:
                 got = [h.tobytes() for _, h in shingle_sets(texts(batch, "__text"), words)]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(got, pa.binary())], names=["doc_id", "hashes"])
 
-    concerned = docs.where("doc_id is not null").withColumn("x", F.pmod(F.xxhash64("doc_id"), F.lit(_BITS))).mapInArrow(sets, "doc_id long, hashes binary")
-    concerned = scratch.save(concerned, "sets")
+    return docs.where("doc_id is not null").withColumn("x", x).mapInArrow(run, "doc_id long, hashes binary")
+
+
+def _meets(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _star_links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int, count: int) -> DataFrame:
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+    least = _least(percent, count)
+    left = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            ok = pa.array((x == y).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    found = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long").distinct()
+    found = scratch.save(found, "alike")
+    sets = scratch.save(_sets(docs, found.select(F.explode(F.array("a", "b")).alias("doc_id")), words), "sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            ok = [_meets(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    x, y = concerned.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), concerned.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
+    x, y = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
     links = scratch.save(found.join(x, "a").join(y, "b").select("a", "b", "ha", "hb").mapInArrow(confirm, "a long, b long").distinct(), "links")
-    scratch.drop(concerned)
+    scratch.drop(sets)
+    scratch.drop(found)
     return links
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 50, rows: int = 6, text: str = "text", doc_id: str = "doc_id", star_rounds: int = 3) -> DataFrame:
+def _root(parent: dict, x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def compare_block(t: pa.Table, least: int, percent: int) -> pa.Table:
+    """A forest of the links between a block's two sides; rows of one root are taken as linked already."""
+    key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
+    rep, n, root, part = (t.column(c).to_numpy() for c in ("rep", "n", "root", "part"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    keys = np.array(t.column("keys").to_pylist(), np.int64)
+    hashes = t.column("hashes")
+    xs, ys = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    parent: dict[int, int] = {}
+    out = []
+    for start in range(0, len(xs), 32):
+        x = xs[start : start + 32]
+        agree = (sketch[x][:, None, :] == sketch[ys][None, :, :]).sum(axis=2, dtype=np.int32)
+        ok = (agree >= least) & (root[x][:, None] != root[ys][None, :])
+        ok &= 100 * np.minimum(n[x][:, None], n[ys][None, :]) >= percent * np.maximum(n[x][:, None], n[ys][None, :])
+        if i == j:
+            ok &= x[:, None] < ys[None, :]
+        p, q = np.nonzero(ok)
+        if not len(p):
+            continue
+        order = np.argsort(-agree[p, q], kind="stable")
+        a, b = x[p[order]], ys[q[order]]
+        first = np.concatenate([(keys[a[s : s + 4096]] == keys[b[s : s + 4096]]).argmax(axis=1) for s in range(0, len(a), 4096)])
+        here = keys[a, first] == key
+        for u, v in zip(a[here].tolist(), b[here].tolist(), strict=True):
+            ru, rv = _root(parent, int(root[u])), _root(parent, int(root[v]))
+            if ru != rv and _meets(np.frombuffer(hashes[u].as_py(), np.uint64), np.frombuffer(hashes[v].as_py(), np.uint64), percent):
+                parent[ru] = rv
+                out.append((int(rep[u]), int(rep[v])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _block_links(members: DataFrame, reps: DataFrame, component: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int, count: int, block: int) -> DataFrame | None:
+    """Links between members of a bucket that the leaders left in different components."""
+    labelled = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("root"))
+    labelled = scratch.save(labelled, "labelled")
+    mixed = labelled.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "root")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi and c > 2")
+    mixed = mixed.select("key", F.col("lead.rep").alias("lead"), F.col("lead.root").alias("lead_root"))
+    rows = scratch.save(labelled.join(mixed, "key").select("key", "rep", "root", (F.col("root") == F.col("lead_root")).alias("main"), (F.col("rep") == F.col("lead")).alias("first")), "mixed")
+    scratch.drop(labelled)
+    if rows.isEmpty():
+        return None
+    rows = rows.where("not first")  # the leader has met everyone
+    blocks = rows.groupBy("key").agg(F.ceil(F.sum(F.when(F.col("main"), 0).otherwise(1)) / block).cast("int").alias("rest"), F.ceil(F.sum(F.when(F.col("main"), 1).otherwise(0)) / block).cast("int").alias("mains"), F.sum(F.when(F.col("main"), 0).otherwise(1)).alias("c"))
+    blocks = blocks.where("c > 1 or (c = 1 and mains > 0)").select("key", "rest", "mains")
+    rows = rows.join(blocks, "key").withColumn("h", F.xxhash64("rep", F.lit("block")))
+    rows = rows.withColumn("part", F.when(F.col("main"), F.col("rest") + F.pmod("h", F.col("mains"))).otherwise(F.pmod("h", F.col("rest"))).cast("int"))
+    own = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda x: F.struct(F.least(x, F.col("part")).alias("i"), F.greatest(x, F.col("part")).alias("j")))
+    cross = F.transform(F.when(F.col("mains") > 0, F.sequence(F.lit(0), F.col("mains") - 1)).otherwise(F.array().cast("array<int>")), lambda y: F.struct(F.col("part").alias("i"), (F.col("rest") + y).alias("j")))
+    units = rows.select("key", "rep", "root", "part", F.explode(F.when(F.col("main"), own).otherwise(F.concat(own, cross))).alias("u")).select("key", "rep", "root", "part", "u.i", "u.j")
+    units = scratch.save(units, "units")
+    sets = scratch.save(_sets(docs, units.select(F.col("rep").alias("doc_id")).distinct(), words), "sets")
+    more = reps.select(F.col("doc_id").alias("rep"), "n", "sketch", "keys").join(sets.select(F.col("doc_id").alias("rep"), "hashes"), "rep")
+    least = _least(percent, count)
+    wide = units.join(more, "rep").select("key", "i", "j", "part", "rep", "root", "n", "sketch", "keys", "hashes")
+    links = scratch.save(wide.groupBy("key", "i", "j").applyInArrow(lambda t: compare_block(t, least, percent), "a long, b long"), "blocklinks")
+    scratch.drop(sets)
+    scratch.drop(units)
+    return links
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 50, rows: int = 6, text: str = "text", doc_id: str = "doc_id", block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id and kept; one row per input row."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "neardup")
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("__text"))
     all_rows = scratch.save(_signatures(docs, words, bands, rows), "signatures")
-    some = all_rows.where("digest is not null")
-    classes = scratch.save(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    classes = scratch.save(all_rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    # a doc_id whose texts differ is one node: the sets and keys of all its texts count
+    reps = all_rows.where("digest is not null").join(classes.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
 
     members = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    shared = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("lead"))
     members = scratch.save(members.join(shared, "key").distinct(), "members")
-    sketches = reps.select("doc_id", "n", "sketch")
-
-    size = members.count()
-    links = None
+    pairs = scratch.save(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    reps = scratch.save(reps.dropDuplicates(["doc_id", "digest"]).join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n", "sketch", "keys"), "reps")
     component = None
-    for k in range(star_rounds + 1):
-        if component is None:
-            labelled = members.withColumn("root", F.col("rep"))
-        else:
-            labelled = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("root"))
-        lead = (F.min("rep"), F.max_by("rep", F.struct("root", "rep")), F.min_by("rep", F.xxhash64("rep")), F.min("rep"))[min(k, 3)]
-        mixed = labelled.groupBy("key").agg(lead.alias("lead"), F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("first")).where("lo < hi" + " and c > 2" * bool(k))
-        mixed = scratch.save(mixed, "mixed")
-        todo = mixed.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
-        if not todo:
-            break
-        full = k == star_rounds or (k and todo <= 4 * size)
-        mine = labelled.join(mixed.select("key", "lead", "first"), "key")
-        if full:  # every pair of different components, but those of the first leader, which are done
-            x = mine.where("rep <> first").select("key", F.col("rep").alias("a"), F.col("root").alias("ra"))
-            y = mine.where("rep <> first").select("key", F.col("rep").alias("b"), F.col("root").alias("rb"))
-            pairs = x.join(y, "key").where("ra < rb").select("a", "b")
-        else:
-            of = labelled.select(F.col("rep").alias("lead"), F.col("root").alias("lead_root")).distinct()
-            pairs = mine.where("rep <> lead").join(of, "lead").where("root <> lead_root").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-        pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        got = _verified(pairs, sketches, docs, scratch, words, percent, bands * rows)
-        links = got if links is None else links.unionByName(got)
+    if not pairs.isEmpty():
+        links = _star_links(pairs, reps.select("doc_id", "n", "sketch"), docs, scratch, words, percent, bands * rows)
         component = connected_components(links, scratch)
-        if full:
-            break
+        more = _block_links(members.select("key", "rep"), reps, component, docs, scratch, words, percent, bands * rows, block)
+        if more is not None:
+            component = connected_components(links.unionByName(more), scratch)
 
     out = all_rows.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     if component is not None:
