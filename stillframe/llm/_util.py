@@ -77,6 +77,25 @@ class Scratch:
         self._fs(self.root).delete(self._path(self.root), True)
 
 
+def kept_names(keep: tuple[str, ...], outputs: tuple[str, ...]) -> list[str]:
+    """Names under which kept columns appear in a result: their own, with `_in` appended while an output has it."""
+    taken, names = {x.lower() for x in outputs} | {"__text"}, []
+    for c in keep:
+        name = c
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
+def kept(df: DataFrame, keep: tuple[str, ...], outputs: tuple[str, ...]) -> tuple[list[Column], list[str], str]:
+    """The kept columns under those names, the names, and their DDL (with a closing comma)."""
+    names = kept_names(keep, outputs)
+    ddl = "".join(f"`{n}` {df.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep, strict=True))
+    return [F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)], names, ddl
+
+
 def crc_mod(id_col: str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod, F.lit(0)).cast("int")

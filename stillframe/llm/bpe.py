@@ -7,8 +7,7 @@ distinct fragment once per worker (bounded caches), and the ids are concatenated
 encoded with the end-of-word mark, the others without.
 
 Defined results: null text is empty and has no ids; an empty text decodes to an empty text; bytes that are not UTF-8
-count as U+FFFD; repeated rows are encoded each; other columns pass through untouched, and a clash with an output name
-is an error before anything runs.
+count as U+FFFD; repeated rows are encoded each; kept columns pass through untouched, one named like an output with `_in` appended to its name.
 """
 
 from __future__ import annotations
@@ -25,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
-from ._util import ship, slices, texts
+from ._util import kept, ship, slices, texts
 
 #: The pre-tokenizer pattern for which the fast path holds: white space separates and never joins a pre-token.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -336,23 +335,20 @@ def coder(path: str) -> PieceCoder | LibraryCoder:
 
 def encode_decode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = True) -> DataFrame:
     """Columns keep, then ids array<int>, and decoded string unless turned off. One row per input row; map-only."""
-    clash = {"ids", "decoded"} & set(keep)
-    if clash:
-        raise ValueError(f"column names clash with outputs: {sorted(clash)}")
     ship(df.sparkSession)
-    fields = [df.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] + [T.StructField("decoded", T.StringType())] * decoded
-    narrow = df.select(*keep, df[text].alias("__text"))
+    cols_in, names, ddl = kept(df, keep, ("ids", "decoded"))
+    narrow = df.select(*cols_in, F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(tokenizer)
         for b in slices(batches, "__text", 4 << 20):
             ids, off = c.encode(texts(b, "__text"))
-            cols = [b.column(b.schema.get_field_index(k)) for k in keep]
+            cols = [b.column(b.schema.get_field_index(k)) for k in names]
             ids = ids.astype(np.int32)
             cols.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)))
             if decoded:
                 flat = ids.tolist()
                 cols.append(pa.array([c.decode(flat[a:z]) for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "ids", *["decoded"] * decoded])
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "ids", *["decoded"] * decoded])
 
-    return narrow.mapInArrow(run, T.StructType(fields))
+    return narrow.mapInArrow(run, f"{ddl}ids array<int>{', decoded string' * decoded}")

@@ -16,7 +16,8 @@ The base score is an add-one unigram word model over all training words. Word co
 which has no hot key left.
 
 Defined results: null text is empty: its end is its only token; rows with a null doc_id count as id remainder 0, so they
-train; repeated rows count and score each; without training rows N = 0 and V = 0.
+train; repeated rows count and score each; without training rows N = 0 and V = 0; a kept
+column named like an output gets `_in` appended to its name.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Scratch, ship, slices, texts
+from ._util import Scratch, kept, ship, slices, texts
 
 _END = 0x0E6D  # the end token's key; words' keys are 64-bit hashes
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -243,15 +244,14 @@ def _fold(nodes: DataFrame, d: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def score(df: DataFrame, train: Column, depth: int = 4, most_bits: int = 22, head_words: int = 1 << 18, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns keep, n_tokens, n_known, train_tokens, base_score and score (log10), one row per input row."""
-    names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    if clash := set(names) & set(keep):
-        raise ValueError(f"column names clash with outputs: {sorted(clash)}")
+    outputs = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "__uid", "__known", "__sum", "__tail", "__train", "__more", "__found")
+    cols_in, keep, ddl = kept(df, keep, outputs)
     if not 1 <= depth <= 6:
         raise ValueError("depth is 1 to 6: a gram has to fit in a long")
     spark = df.sparkSession
     ship(spark)
     scratch = Scratch(spark, "ctw")
-    rows = df.select(*keep, df[text].alias("__text"), train.alias("__train"))
+    rows = df.select(*cols_in, F.col(f"`{text}`").alias("__text"), train.alias("__train"))
     partial = rows.where("__train").select("__text").mapInArrow(_tally(depth), "kind int, key long, n long")
     counts = scratch.save(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     trees = _trees(counts.where("kind = 0").select("key", "n"), depth, scratch)
@@ -300,8 +300,7 @@ def score(df: DataFrame, train: Column, depth: int = 4, most_bits: int = 22, hea
             at += len(raw)
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "__uid", "n_tokens", "__known", "__sum", "score", "__tail"])
 
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    done = scratch.save(rows.drop("__train").mapInArrow(run, f"{fields}{', ' * bool(keep)}__uid long, n_tokens long, __known long, __sum double, score double, __tail array<long>"), "scored")
+    done = scratch.save(rows.drop("__train").mapInArrow(run, f"{ddl}__uid long, n_tokens long, __known long, __sum double, score double, __tail array<long>"), "scored")
     rare = done.select("__uid", F.explode("__tail").alias("key")).groupBy("__uid", "key").agg(F.count("*").alias("f"))
     rare = rare.join(words, "key").groupBy("__uid").agg(F.sum(F.col("f") * F.log10(F.col("n") + 1.0)).alias("__more"), F.sum("f").alias("__found"))
     return done.drop("__tail").join(rare, "__uid", "left").select(

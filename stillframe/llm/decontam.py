@@ -11,7 +11,8 @@ Both passes are map-only over whole texts. The index of the benchmark is broadca
 merged per document, so memory stays bounded at any benchmark size.
 
 Defined results: null and empty texts have no words; items without words have no window; items with a null id hit words
-but are listed nowhere; repeated items count once; repeated documents get a row each.
+but are listed nowhere; repeated items count once; repeated documents get a row each; a kept
+column named like an output gets `_in` appended to its name.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Scratch, ship, slices, texts
+from ._util import Scratch, kept, ship, slices, texts
 
 #: Byte table: A-Z to a-z, digits, a-z and bytes of non-ASCII characters stay, all else separates words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -153,12 +154,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     spark = docs.sparkSession
     ship(spark)
     keep = (doc_id,) if keep is None else keep
-    if clash := {"n_words", "hits", "items"} & set(keep):
-        raise ValueError(f"column names clash with outputs: {sorted(clash)}")
+    cols_in, keep, _ = kept(docs, keep, ("n_words", "hits", "items", "__row", "h", "i"))
     items = benchmark.select(benchmark[item_id].cast("string").alias("item"), benchmark[text].alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    rows = docs.select(*keep, docs[text].alias("__text"))
+    rows = docs.select(*cols_in, F.col(f"`{text}`").alias("__text"))
     if blocks == 1:
         return _one_block(rows, [(r["item"], r["text"].encode()) for r in items.collect()], window, shingle, keep)
     scratch = Scratch(spark, "decontam")
@@ -186,7 +186,7 @@ def _merged(col: str):
     )
 
 
-def _one_block(rows: DataFrame, items: list[tuple[str | None, bytes]], window: int, shingle: int, keep: tuple[str, ...]) -> DataFrame:
+def _one_block(rows: DataFrame, items: list[tuple[str | None, bytes]], window: int, shingle: int, keep) -> DataFrame:
     spark = rows.sparkSession
     index = build(items, window, shingle)
     if index.keys:

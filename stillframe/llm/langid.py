@@ -8,7 +8,8 @@ languages with most rows. The label, source and id are no input of a prediction.
 
 Defined results: null text or text without a letter gives 'und' with score 0; so does every text when no row can be
 learned from; equal scores go to the first language by name; rows with null lang are not learned from; a null id counts
-as id remainder 0; repeated rows get the same prediction; very long texts are read whole, in pieces of a batch.
+as id remainder 0; repeated rows get the same prediction; very long texts are read whole; a kept column named like an output
+gets `_in` appended to its name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Scratch, ship, slices, texts
+from ._util import Scratch, kept, ship, slices, texts
 
 BUCKETS = 1 << 16
 _SCALE = 100.0  # relative term frequencies are small numbers; one constant brings logits into range
@@ -178,13 +179,10 @@ def fit(df: DataFrame, train: Column, lang: str = "lang", text: str = "text", do
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns keep, lang_pred and score (the calibrated probability of the prediction); map-only."""
-    clash = {"lang_pred", "score"} & set(keep)
-    if clash:
-        raise ValueError(f"column names clash with outputs: {sorted(clash)}")
     spark = df.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x max_langs floats at most
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    cols_in, names, ddl = kept(df, keep, ("lang_pred", "score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -199,7 +197,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 pred = [m.langs[k] if n else "und" for k, n in zip(best, count, strict=True)]
             else:
                 p, pred = np.zeros(len(raw)), ["und"] * len(raw)
-            cols = [b.column(b.schema.get_field_index(k)) for k in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(p, pa.float64())], names=[*keep, "lang_pred", "score"])
+            cols = [b.column(b.schema.get_field_index(k)) for k in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(p, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, f"{fields}{', ' * bool(keep)}lang_pred string, score double")
+    return df.select(*cols_in, F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"{ddl}lang_pred string, score double")

@@ -11,7 +11,8 @@ certain, and Viterbi runs on the runs between such tokens, with the result of a
 
 Defined results: null text is empty and has no spans; spans are in code points, end exclusive, ordered by start, then
 kind as in KINDS; spans of one pattern never overlap; a CRF span that touches a base span is left out; invalid UTF-8
-counts as U+FFFD; repeated rows get the same spans.
+counts as U+FFFD; repeated rows get the same spans; a kept column named like an output gets `_in` appended to its name
+(redaction returns every column under its own name).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import ship, slices, texts
+from ._util import kept, kept_names, ship, slices, texts
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -380,7 +381,7 @@ def _map(df: DataFrame, text: str, keep: tuple[str, ...], redact: str | None) ->
     key = (1200, 7, 120)
     crf = trained(*key)
     weights = (crf.names, crf.w, crf.trans)  # a few kB
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    cols_in, kept_as, ddl = kept(df, keep, ("spans", "__clean"))
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,8 +390,8 @@ def _map(df: DataFrame, text: str, keep: tuple[str, ...], redact: str | None) ->
             col = b.column(b.schema.get_field_index("__text"))
             raw = texts(b, "__text")
             found = s.scan(raw)
-            cols = [b.column(b.schema.get_field_index(k)) for k in keep]
-            names = list(keep)
+            cols = [b.column(b.schema.get_field_index(k)) for k in kept_as]
+            names = list(kept_as)
             if redact is None:
                 cols.append(pa.array([[{"kind": KINDS[k], "start": a, "end": z} for a, k, z in x] for x in found], span_type))
                 names.append("spans")
@@ -401,7 +402,7 @@ def _map(df: DataFrame, text: str, keep: tuple[str, ...], redact: str | None) ->
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     more = "spans array<struct<kind:string,start:int,end:int>>" if redact is None else "__clean string"
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, f"{fields}{', ' * bool(keep)}{more}")
+    return df.select(*cols_in, F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"{ddl}{more}")
 
 
 def _redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
@@ -417,16 +418,15 @@ def _redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 
 def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns keep and spans, an array of (kind, start, end); one row per input row; map-only."""
-    if "spans" in keep:
-        raise ValueError("a kept column is named spans")
     return _map(df, text, keep, None)
 
 
 def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """The table with every span of its texts replaced by mark; n_chars follows where there is one."""
-    names = df.columns
-    keep = tuple(c for c in names if c != text)
-    out = _map(df, text, keep, mark).withColumnRenamed("__clean", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
-    return out.select(*names)
+    keep = tuple(c for c in df.columns if c != text)
+    out = _map(df, text, keep, mark)
+    back = dict(zip(keep, kept_names(keep, ("spans", "__clean")), strict=True)) | {text: "__clean"}
+    out = out.select(*[F.col(f"`{back[c]}`").alias(c) for c in df.columns])
+    if "n_chars" in keep:
+        out = out.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast(df.schema["n_chars"].dataType))
+    return out

@@ -6,7 +6,8 @@ pre-tokens stay inside the task: shuffling them per document would write several
 files, whose pre-tokens hold white space, go through their library text by text.
 
 Defined results: null text is empty, with 0 bytes and 0 tokens; special strings inside texts count as the library's
-default has it (one token each where the file names them); repeated rows give a row each; extra columns are ignored.
+default has it (one token each where the file names them); repeated rows give a row each; columns not kept are
+ignored, a kept one named like an output gets `_in` appended to its name.
 """
 
 from __future__ import annotations
@@ -15,27 +16,25 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
-from ._util import ship, slices, texts
+from ._util import kept, ship, slices, texts
 from .bpe import coder
 
 
 def count_tokens(df: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns keep, n_bytes, n_tokens and over_limit (n_tokens > limit); one row per input row; map-only."""
-    clash = {"n_bytes", "n_tokens", "over_limit"} & set(keep)
-    if clash:
-        raise ValueError(f"column names clash with outputs: {sorted(clash)}")
     ship(df.sparkSession)
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
+    outputs = ("n_bytes", "n_tokens", "over_limit")
+    cols_in, names, ddl = kept(df, keep, outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(tokenizer)
         for b in slices(batches, "__text"):
             raw = texts(b, "__text")
             n = c.count(raw)
-            cols = [b.column(b.schema.get_field_index(k)) for k in keep]
+            cols = [b.column(b.schema.get_field_index(k)) for k in names]
             cols += [pa.array(map(len, raw), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *outputs])
 
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+    return df.select(*cols_in, F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"{ddl}n_bytes long, n_tokens long, over_limit boolean")
