@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from ..errors import IngestRejected, InvalidArgument
 from ..functions import frame_digest, is_blank, key_of, local_day
 from ..manifest import Snapshot, State
-from ..schema import TYPES, TableSchema
+from ..schema import TableSchema
 from ..sources.rows import ordered
 
 ROWS_PER_FILE = 2_000_000
@@ -31,14 +32,10 @@ def validate(df: DataFrame, schema: TableSchema) -> dict[int, dict]:
     """One pass over all snapshots of a batch (column ts): per ts the row count and content hash, or a rejection."""
     must = [c.name for c in schema.columns if not c.nullable]
     key = F.col("_key")
-    checks = [F.min("_row_no").alias("_first"), F.count("*").alias("_rows"), F.count_if(is_blank(key)).alias("_blank"), F.count_distinct(key).alias("_keys")]
+    checks = [F.count("*").alias("_rows"), F.count_if(is_blank(key)).alias("_blank"), F.count_distinct(key).alias("_keys")]
     checks += [F.count_if(F.col(f"`{n}`").isNull()).alias(f"_null{k}") for k, n in enumerate(must)]
+    checks += frame_digest([(c.name, c.type) for c in schema.columns])
     found = df.groupBy("ts").agg(*checks).collect()  # a row per snapshot of the batch
-    if not found:
-        return {}
-    first = F.create_map(*[F.lit(x) for r in found for x in (r["ts"], r["_first"])])  # positions count from a snapshot's first row
-    df = df.withColumn("_row_no", F.col("_row_no") - first[F.col("ts")])
-    digests = {r["ts"]: r for r in df.groupBy("ts").agg(*frame_digest([(c.name, c.type) for c in schema.columns])).collect()}
     out = {}
     for r in found:
         for k, n in enumerate(must):
@@ -48,8 +45,7 @@ def validate(df: DataFrame, schema: TableSchema) -> dict[int, dict]:
             raise IngestRejected(f"{r['_blank']} blank keys at {r['ts']}")
         if r["_keys"] != r["_rows"]:
             raise IngestRejected(f"duplicate keys at {r['ts']}")
-        d = digests[r["ts"]]
-        out[r["ts"]] = {"rows": r["_rows"], "hash": f"{r['_rows']}:{d['_h1']}:{d['_h2']}"}
+        out[r["ts"]] = {"rows": r["_rows"], "hash": f"{r['_rows']}:{r['_h1']}:{r['_h2']}"}
     return out
 
 
@@ -87,8 +83,11 @@ def add_points(table, state: State, batch: DataFrame, commit: str) -> tuple[Data
     sorted_ = new.repartitionByRange(parts, "ts", "n").sortWithinPartitions("ts", "n")
     sorted_.withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).write.parquet(stage)
     staged = table.spark.read.schema("_key string, ts long, n long, p int, i long").parquet(stage)
-    counts = sorted((r["p"], r["c"]) for r in staged.groupBy("p").agg(F.count("*").alias("c")).collect())  # a row per partition
-    per_ts = {r["ts"]: r["c"] for r in staged.groupBy("ts").agg(F.count("*").alias("c")).collect()}
+    per_part, per_ts = Counter(), Counter()
+    for r in staged.groupBy("p", "ts").agg(F.count("*").alias("c")).collect():  # at most a row per partition and snapshot
+        per_part[r["p"]] += r["c"]
+        per_ts[r["ts"]] += r["c"]
+    counts = sorted(per_part.items())
     total = sum(c for _, c in counts)
     if not total:
         table.store.delete(stage)
@@ -154,7 +153,8 @@ def _write(table, state: State, batch: DataFrame, todo: list[int], info: dict[in
     data = f"{table.root}/data"
     (out.write.mode("append").partitionBy("day", "ts", "c").option("compression", "zstd").option("parquet.compression.codec.zstd.level", schema.level)
         .option("parquet.bloom.filter.enabled#_key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(data))
-    days = {r["ts"]: r["day"] for r in table.spark.createDataFrame([(t,) for t in todo], "ts long").select("ts", local_day(F.col("ts"), table.zone).cast("string").alias("day")).collect()}
+    clock = table.spark._jvm.java.time
+    days = {ts: clock.Instant.ofEpochMilli(ts).atZone(clock.ZoneId.of(table.zone)).toLocalDate().toString() for ts in todo}
     made = {ts: Snapshot(ts, days[ts], f"data/day={days[ts]}/ts={ts}/c={commit}", 0, 0, 0, 0, 0, "") for ts in todo}
     back = table.read_paths([s.path for s in made.values()])
     for r in back.groupBy("ts").agg(F.count("*").alias("n"), F.min("point_id").alias("lo"), F.max("point_id").alias("hi")).collect():  # a row per snapshot of the batch
@@ -169,7 +169,3 @@ def _write(table, state: State, batch: DataFrame, todo: list[int], info: dict[in
             table.store.delete(f"{table.root}/{f}")
         raise
     return made
-
-
-def all_types() -> dict[str, T.DataType]:
-    return dict(TYPES)

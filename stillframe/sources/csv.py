@@ -38,7 +38,7 @@ def read_csv(spark: SparkSession, schema: TableSchema, path: str) -> DataFrame:
     cells = cells.withColumn("bare", F.regexp_replace("value", '"[^"]*"', "")).withColumn("cells", commas + 1)
     head = cells.orderBy("_row_no").limit(1).first()
     if head is not None and [head[n] for n in names[:count]] == schema.names and head["cells"] == count:
-        cells = cells.where(F.col("_row_no") > head["_row_no"])
+        cells = cells.where(F.col("_row_no") > head["_row_no"]).withColumn("_row_no", F.col("_row_no") - (head["_row_no"] + 1))
     out = [F.col("_row_no")]
     bad = F.col("cells") != count
     for c, n in zip(schema.columns, names, strict=False):
