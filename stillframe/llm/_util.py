@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -77,6 +80,21 @@ class Scratch:
         self._fs(self.root).delete(self._path(self.root), True)
 
 
+_OWNER: list = [None, None]  # of this worker's caches: an operator's name, and what frees them
+
+
+def claim(name: str, release: Callable[[], object]) -> None:
+    """Called by an operator at the start of a task: caches that another operator left in this worker process, from an
+    earlier stage, are freed, and memory that is free by now goes back to the system."""
+    if _OWNER[0] not in (None, name):
+        _OWNER[1]()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+    _OWNER[:] = [name, release]
+
+
 def kept_names(keep: tuple[str, ...], outputs: tuple[str, ...]) -> list[str]:
     """Names under which kept columns appear in a result: their own, with `_in` appended while an output has it."""
     taken, names = {x.lower() for x in outputs} | {"__text"}, []

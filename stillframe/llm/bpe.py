@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import kept, ship, slices, texts
+from ._util import claim, kept, ship, slices, texts
 
 #: The pre-tokenizer pattern for which the fast path holds: white space separates and never joins a pre-token.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -320,28 +321,34 @@ class LibraryCoder:
         return self._text(ids)
 
 
-@lru_cache(maxsize=2)
-def coder(path: str) -> PieceCoder | LibraryCoder:
-    """One coder per worker and file; its caches live as long as the worker."""
-    import os
+MAX_CHUNKS = 600_000
 
+
+def coder(path: str, max_chunks: int = MAX_CHUNKS) -> PieceCoder | LibraryCoder:
+    """One coder per worker and file; it holds at most about max_chunks distinct chunks."""
+    claim("bpe", _load.cache_clear)
+    return _load(path, max_chunks)
+
+
+@lru_cache(maxsize=1)
+def _load(path: str, max_chunks: int) -> PieceCoder | LibraryCoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
             if _fast_spec(json.load(f)):
-                return PieceCoder(path)
+                return PieceCoder(path, max_chunks)
     return LibraryCoder(path)
 
 
-def encode_decode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = True) -> DataFrame:
+def encode_decode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = True, max_chunks: int = MAX_CHUNKS) -> DataFrame:
     """Columns keep, then ids array<int>, and decoded string unless turned off. One row per input row; map-only."""
     ship(df.sparkSession)
     cols_in, names, ddl = kept(df, keep, ("ids", "decoded"))
     narrow = df.select(*cols_in, F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(tokenizer)
-        for b in slices(batches, "__text", 4 << 20):
+        c = coder(tokenizer, max_chunks)
+        for b in slices(batches, "__text", 1 << 20):
             ids, off = c.encode(texts(b, "__text"))
             cols = [b.column(b.schema.get_field_index(k)) for k in names]
             ids = ids.astype(np.int32)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Scratch, kept, ship, slices, texts
+from ._util import Scratch, claim, kept, ship, slices, texts
 
 _END = 0x0E6D  # the end token's key; words' keys are 64-bit hashes
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -318,6 +318,7 @@ _LAST: dict[int, Tables] = {}
 
 def _tables(uid: int, depth: int, shared) -> Tables:
     """The model's tables and gram cache, kept by the worker for the model at hand."""
+    claim("ctw", _LAST.clear)
     if uid not in _LAST:
         _LAST.clear()
         _LAST[uid] = Tables(depth, *shared.value)

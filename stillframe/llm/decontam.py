@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Scratch, kept, ship, slices, texts
+from ._util import Scratch, claim, kept, ship, slices, texts
 
 #: Byte table: A-Z to a-z, digits, a-z and bytes of non-ASCII characters stay, all else separates words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -154,26 +154,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     spark = docs.sparkSession
     ship(spark)
     keep = (doc_id,) if keep is None else keep
+    given = tuple(keep)
     cols_in, keep, _ = kept(docs, keep, ("n_words", "hits", "items", "__row", "h", "i"))
     items = benchmark.select(benchmark[item_id].cast("string").alias("item"), benchmark[text].alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    rows = docs.select(*cols_in, F.col(f"`{text}`").alias("__text"))
+    own = keep[given.index(text)] if text in given else "__text"  # a kept text is not sent twice
+    rows = docs.select(*cols_in, *[F.col(f"`{text}`").alias("__text")] * (text not in given))
     if blocks == 1:
-        return _one_block(rows, [(r["item"], r["text"].encode()) for r in items.collect()], window, shingle, keep)
+        return _one_block(rows, [(r["item"], r["text"].encode()) for r in items.collect()], window, shingle, keep, own)
     scratch = Scratch(spark, "decontam")
     keyed = rows.withColumn("__row", F.xxhash64(*[F.col(c) for c in rows.columns]))
     parts = []
     for k in range(blocks * 2):  # halves of the mean, so that an uneven hash stays under the bound
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks * 2)) == k)
-        got = _one_block(keyed, [(r["item"], r["text"].encode()) for r in block.toLocalIterator()], window, shingle, ("__row",))
+        got = _one_block(keyed, [(r["item"], r["text"].encode()) for r in block.toLocalIterator()], window, shingle, ("__row",), own)
         parts.append(scratch.save(got.where("size(hits) > 0").distinct(), f"block{k}"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
     found = found.groupBy("__row").agg(F.flatten(F.collect_list("hits")).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
     none_r, none_i = F.array().cast("array<struct<start:bigint,end:bigint>>"), F.array().cast("array<string>")
-    joined = _one_block(keyed, [], window, shingle, (*keep, "__row")).drop("hits", "items").join(found, "__row", "left")
+    joined = _one_block(keyed, [], window, shingle, (*keep, "__row"), own).drop("hits", "items").join(found, "__row", "left")
     return joined.select(*keep, "n_words", F.coalesce(_merged("h"), none_r).alias("hits"), F.coalesce("i", none_i).alias("items"))
 
 
@@ -186,7 +188,7 @@ def _merged(col: str):
     )
 
 
-def _one_block(rows: DataFrame, items: list[tuple[str | None, bytes]], window: int, shingle: int, keep) -> DataFrame:
+def _one_block(rows: DataFrame, items: list[tuple[str | None, bytes]], window: int, shingle: int, keep, own: str) -> DataFrame:
     spark = rows.sparkSession
     index = build(items, window, shingle)
     if index.keys:
@@ -194,15 +196,16 @@ def _one_block(rows: DataFrame, items: list[tuple[str | None, bytes]], window: i
 
         def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix = bare.value
+            claim("decontam", int)
             counts = {k: np.zeros(len(v), np.int64) for k, v in ix.keys.items()}
-            for b in slices(batches, "__text", 4 << 20):
-                count_shingles(ix, texts(b, "__text"), counts)
+            for b in slices(batches, own, 4 << 20):
+                count_shingles(ix, texts(b, own), counts)
             for k, c in counts.items():
                 where = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), k), pa.int32()), pa.array(where, pa.int32()), pa.array(c[where], pa.int64())], names=["k", "key", "n"])
 
         counts = {k: np.zeros(len(v), np.int64) for k, v in index.keys.items()}
-        for r in rows.select("__text").mapInArrow(tally, "k int, key int, n long").groupBy("k", "key").agg(F.sum("n").alias("n")).collect():  # a row per benchmark shingle at most
+        for r in rows.select(own).mapInArrow(tally, "k int, key int, n long").groupBy("k", "key").agg(F.sum("n").alias("n")).collect():  # a row per benchmark shingle at most
             counts[r["k"]][r["key"]] = r["n"]
         post(index, counts, shingle)
     shared = spark.sparkContext.broadcast(index)
@@ -210,8 +213,9 @@ def _one_block(rows: DataFrame, items: list[tuple[str | None, bytes]], window: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        for b in slices(batches, "__text", 4 << 20):
-            n, ranges, found = match(ix, texts(b, "__text"))
+        claim("decontam", int)
+        for b in slices(batches, own, 4 << 20):
+            n, ranges, found = match(ix, texts(b, own))
             cols = [b.column(b.schema.get_field_index(k)) for k in keep]
             cols += [pa.array(n, pa.int64()), pa.array([[{"start": a, "end": z} for a, z in r] for r in ranges], _RANGES), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_words", "hits", "items"])

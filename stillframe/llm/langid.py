@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Scratch, kept, ship, slices, texts
+from ._util import Scratch, claim, kept, ship, slices, texts
 
 BUCKETS = 1 << 16
 _SCALE = 100.0  # relative term frequencies are small numbers; one constant brings logits into range
@@ -142,6 +142,7 @@ def fit(df: DataFrame, train: Column, lang: str = "lang", text: str = "text", do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df_counts, seen = np.zeros(BUCKETS, np.int64), 0
+        claim("langid", int)
         schema = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("idx", pa.list_(pa.int32())), ("val", pa.list_(pa.float32()))])
         for b in slices(batches, "__text", 1 << 20):
             raw = texts(b, "__text")
@@ -183,11 +184,13 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x max_langs floats at most
     cols_in, names, ddl = kept(df, keep, ("lang_pred", "score"))
+    own = names[keep.index(text)] if text in keep else "__text"  # a kept text is not sent twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in slices(batches, "__text", 1 << 20):
-            raw = texts(b, "__text")
+        claim("langid", int)
+        for b in slices(batches, own, 1 << 20):
+            raw = texts(b, own)
             if m.langs:
                 logits, count = scores(m, raw)
                 v = logits / m.temperature
@@ -200,4 +203,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             cols = [b.column(b.schema.get_field_index(k)) for k in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(p, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return df.select(*cols_in, F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"{ddl}lang_pred string, score double")
+    return df.select(*cols_in, *[F.col(f"`{text}`").alias("__text")] * (text not in keep)).mapInArrow(run, f"{ddl}lang_pred string, score double")

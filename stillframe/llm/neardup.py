@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Scratch, ship, slices, texts
+from ._util import Scratch, claim, ship, slices, texts
 from .components import connected_components
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -57,7 +57,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(raw: list[bytes], k: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """Each text's words and its sorted distinct shingle hashes."""
-    if len(_WORDS) > 600_000:
+    if len(_WORDS) > 300_000:
         _WORDS.clear()
     split = [x.lower().split() for x in raw]
     n = np.fromiter(map(len, split), np.int64, len(split))
@@ -98,6 +98,7 @@ def _signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame
     """doc_id, n, digest, keys (one per band) and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("neardup", _WORDS.clear)
         a, b = coefficients(bands * rows)
         odd = _MIX[np.arange(rows) % len(_MIX)] + np.arange(rows, dtype=np.uint64) * np.uint64(2)
         for batch in slices(batches, "__text", 4 << 20):
@@ -141,6 +142,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = shared.value
+        claim("neardup", _WORDS.clear)
         for batch in slices(batches, "__text", 4 << 20):
             at = batch.column(batch.schema.get_field_index("x")).to_numpy()
             batch = batch.filter(pa.array(((mask[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))

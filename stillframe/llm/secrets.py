@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import kept, kept_names, ship, slices, texts
+from ._util import claim, kept, kept_names, ship, slices, texts
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -269,7 +269,7 @@ def trained(n: int = 1200, seed: int = 7, rounds: int = 120) -> Crf:
 class Scanner:
     """The CRF with a bounded cache of distinct tokens' emissions."""
 
-    def __init__(self, crf: Crf, max_tokens: int = 600_000):
+    def __init__(self, crf: Crf, max_tokens: int = 200_000):
         self.crf, self.max_tokens = crf, max_tokens
         self.clear()
 
@@ -369,6 +369,7 @@ _SCANNERS: dict[tuple, Scanner] = {}
 
 def _scanner(key: tuple, crf: Crf) -> Scanner:
     """One per worker process; the key names the training, so that the cache fits the weights."""
+    claim("secrets", _SCANNERS.clear)
     if key not in _SCANNERS:
         _SCANNERS.clear()
         _SCANNERS[key] = Scanner(crf)
@@ -386,7 +387,7 @@ def _map(df: DataFrame, text: str, keep: tuple[str, ...], redact: str | None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _scanner(key, Crf(*weights))
-        for b in slices(batches, "__text", 4 << 20):
+        for b in slices(batches, "__text", 2 << 20):
             col = b.column(b.schema.get_field_index("__text"))
             raw = texts(b, "__text")
             found = s.scan(raw)
