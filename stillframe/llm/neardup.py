@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -130,15 +131,20 @@ def _least(percent: int, count: int) -> int:
     return int(count * j - 7 * (count * j * (1 - j)) ** 0.5)
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits at the hashes of the ids in column doc_id: 4 MB at any number of ids."""
+    bits = np.zeros(_BITS // 8, np.uint8)
+    who = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(_BITS)).alias("x")).groupBy(F.expr("bitmap_bucket_number(x + 1)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x + 1))").alias("bits"))
+    for r in who.collect():  # 1024 rows of 4 kB at most
+        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]).ljust(4096, b"\0"), np.uint8)
+    return bits
+
+
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """doc_id and hashes (sorted, 8 bytes each) of at least the documents in ids, by one map-only scan."""
     spark = docs.sparkSession
     x = F.pmod(F.xxhash64("doc_id"), F.lit(_BITS))
-    bits = np.zeros(_BITS // 8, np.uint8)
-    who = ids.select(x.alias("x")).groupBy(F.expr("bitmap_bucket_number(x + 1)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x + 1))").alias("bits"))
-    for r in who.collect():  # 1024 rows of 4 kB at most
-        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]).ljust(4096, b"\0"), np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
+    shared = spark.sparkContext.broadcast(_bitmap(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = shared.value
@@ -292,10 +298,21 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **options) ->
     spark = docs.sparkSession
     scratch = Scratch(spark, "dedup")
     found = scratch.save(near_duplicates(docs, doc_id=doc_id, **options), "found")
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
-    repeated = scratch.save(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(doc_id)), "repeated")
-    left = docs.join(gone, doc_id, "left_anti")
+    gone = scratch.save(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
+    repeated = scratch.save(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    # texts move only where the bitmap cannot tell that a document stays: no shuffle of the whole table
+    shared = spark.sparkContext.broadcast(_bitmap(gone.unionByName(repeated)))
+
+    @F.pandas_udf("boolean")
+    def listed(x: pd.Series) -> pd.Series:
+        at = x.to_numpy()
+        return pd.Series(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+
+    key = F.col(f"`{doc_id}`")
+    gone, repeated = (f.select(F.col("doc_id").alias(doc_id)) for f in (gone, repeated))
+    mark = listed(F.coalesce(F.pmod(F.xxhash64(key.cast("long")), F.lit(_BITS)), F.lit(0)))
+    sure, unsure = docs.where(key.isNull() | ~mark), docs.where(key.isNotNull() & mark)
+    left = unsure.join(gone, doc_id, "left_anti")
     if not repeated.isEmpty():
-        once = left.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id])
-        left = left.join(repeated, doc_id, "left_anti").unionByName(once)
-    return left.select(*docs.columns)
+        left = left.join(repeated, doc_id, "left_anti").unionByName(left.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id]))
+    return sure.unionByName(left).select(*docs.columns)
