@@ -34,8 +34,12 @@ def validate(df: DataFrame, schema: TableSchema) -> dict[int, dict]:
     key = F.col("_key")
     checks = [F.count("*").alias("_rows"), F.count_if(is_blank(key)).alias("_blank"), F.count_distinct(key).alias("_keys")]
     checks += [F.count_if(F.col(f"`{n}`").isNull()).alias(f"_null{k}") for k, n in enumerate(must)]
-    checks += frame_digest([(c.name, c.type) for c in schema.columns])
-    found = df.groupBy("ts").agg(*checks).collect()  # a row per snapshot of the batch
+    digest = frame_digest([(c.name, c.type) for c in schema.columns])
+    found = df.groupBy("ts").agg(F.min("_row_no").alias("_first"), *checks, *digest).collect()  # a row per snapshot of the batch
+    digests = {r["ts"]: r for r in found}
+    if any(r["_first"] for r in found):  # positions count from a snapshot's first row; most sources start at 0
+        first = F.create_map(*[F.lit(x) for r in found for x in (r["ts"], r["_first"])])
+        digests = {r["ts"]: r for r in df.withColumn("_row_no", F.col("_row_no") - first[F.col("ts")]).groupBy("ts").agg(*digest).collect()}
     out = {}
     for r in found:
         for k, n in enumerate(must):
@@ -45,7 +49,8 @@ def validate(df: DataFrame, schema: TableSchema) -> dict[int, dict]:
             raise IngestRejected(f"{r['_blank']} blank keys at {r['ts']}")
         if r["_keys"] != r["_rows"]:
             raise IngestRejected(f"duplicate keys at {r['ts']}")
-        out[r["ts"]] = {"rows": r["_rows"], "hash": f"{r['_rows']}:{r['_h1']}:{r['_h2']}"}
+        d = digests[r["ts"]]
+        out[r["ts"]] = {"rows": r["_rows"], "hash": f"{r['_rows']}:{d['_h1']}:{d['_h2']}"}
     return out
 
 
