@@ -144,7 +144,7 @@ def fit(df: DataFrame, train: Column, lang: str = "lang", text: str = "text", do
         df_counts, seen = np.zeros(BUCKETS, np.int64), 0
         claim("langid", int)
         schema = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("idx", pa.list_(pa.int32())), ("val", pa.list_(pa.float32()))])
-        for b in slices(batches, "__text", 1 << 20):
+        for b in slices(batches, "__text", 1 << 18):
             raw = texts(b, "__text")
             parts = list(ngrams(raw))
             for h, owner in parts:
@@ -189,7 +189,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         claim("langid", int)
-        for b in slices(batches, own, 1 << 20):
+        for b in slices(batches, own, 1 << 18):
             raw = texts(b, own)
             if m.langs:
                 logits, count = scores(m, raw)
