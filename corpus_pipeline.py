@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillframe.llm import bpe, decontam, langid, neardup, secrets
-from stillframe.llm._util import Scratch, kept_names
+from stillframe.llm._util import Scratch, bound_batches, kept_names
 
 #: Below this calibrated probability of the best language a document counts as of no known language.
 MIN_LANG_SCORE = 0.3
@@ -25,6 +25,7 @@ def _own(out: DataFrame, docs: DataFrame, outputs: tuple[str, ...]) -> DataFrame
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a recognised language; those without a letter, or like no learned language, go."""
+    bound_batches(spark)  # stays for the later stages too
     model = langid.fit(docs, F.lit(True))
     got = langid.predict(docs, model, keep=tuple(docs.columns))
     if not model.langs:  # nothing to learn from: nothing to reject by

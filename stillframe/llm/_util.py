@@ -95,6 +95,14 @@ def claim(name: str, release: Callable[[], object]) -> None:
     _OWNER[:] = [name, release]
 
 
+def bound_batches(spark: SparkSession, max_bytes: int = 4 << 20) -> None:
+    """From now on the session sends Python workers Arrow batches of about max_bytes (one row at least), where it has
+    Spark's own default. An executor holds each batch outside its heap and the worker again, so long texts weigh twice."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, f"{max_bytes}b")
+
+
 def kept_names(keep: tuple[str, ...], outputs: tuple[str, ...]) -> list[str]:
     """Names under which kept columns appear in a result: their own, with `_in` appended while an output has it."""
     taken, names = {x.lower() for x in outputs} | {"__text"}, []
