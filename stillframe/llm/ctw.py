@@ -7,9 +7,11 @@ a closed form, and bottom-up P_w = P_e / 2 + (product of the children's P_w) / 2
 decision's probability mixes the KT estimates of the nodes on its path with weights w = P_e / (2 P_w) to stop at a node
 and 1 - w to go on; contexts that training never saw end the path.
 
-For scoring, nodes are folded into hashed tables of a fixed number of slots (counts add up, weights average by count),
-so the broadcast model has a fixed size at any corpus size, and every count is in it. A worker keeps the code lengths
-of recent grams, so that a byte usually costs one look-up.
+Every node is kept under its exact key. A first pass cuts the texts into slices (one task's texts, closed at 2^most_bits
+distinct grams) and writes each slice's distinct grams and its packed rows. The nodes of a gram of depth 2 and more share
+its last two context bytes, so grams dealt by those give all of their nodes within a task; depths 0 and 1 have at most
+65,536 nodes, which are broadcast. The distinct grams' code lengths are joined to the slices' grams, and a slice is scored
+with its own grams at hand. So nothing held at once grows with the corpus, and no two nodes ever share a count.
 
 The base score is an add-one unigram word model over all training words. Word counts are shuffled by hash; the
 `head_words` most frequent ones are broadcast (bounded), the rest of a text's words join the count table by hash,
@@ -71,7 +73,8 @@ def grams(raw: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tables:
-    """Per depth, each slot's KT estimate of a 1, its weight to stop, and whether training saw it."""
+    """Per depth, each slot's KT estimate of a 1, its weight to stop, and whether training saw it. A model of bounded size
+    for callers that want one; score() does not use it."""
 
     def __init__(self, depth: int, p: list[np.ndarray], w: list[np.ndarray], cache_bits: int = 20):
         self.depth, self.p, self.w = depth, p, w
@@ -150,38 +153,61 @@ class WordKeys:
         self.known = 0
 
 
-def _tally(depth: int):
-    """Partial counts of a task's training texts: kind 0 grams, kind 1 words."""
+_PASS = "kind int, slice long, key long, n long, blob binary"  # kind 0 grams, 1 words, 2 packed rows
+_SLICE_BYTES = 64 << 20
+_LN2 = 0.6931471805599453
+
+
+def _pack(b: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def _tally(depth: int, most: int):
+    """A task's texts in slices: each slice's rows, its distinct grams with their training counts (0 where only other
+    texts have them), and partial counts of the training texts' words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = WordKeys(), np.zeros(0, np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        ends = 0
+        ends = size = 0
+        at = TaskContext.get().partitionId() << 32
 
         def out(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(key), 100_000):
                 part = key[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[k : k + 100_000])], names=["kind", "key", "n"])
+                cols = [np.full(len(part), kind, np.int32), np.full(len(part), at), part, n[k : k + 100_000]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(part), pa.binary())], names=["kind", "slice", "key", "n", "blob"])
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, distinct = pd.factorize(np.concatenate([p[0] for p in parts]))
+            codes, distinct = pd.factorize(np.concatenate([p[0] for p in parts]), sort=True)
             return distinct, np.bincount(codes, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
-        for b in slices(batches, "__text", 4 << 20):
+        for b in slices(batches, "__text", 2 << 20):
             raw = [x.lower() for x in texts(b, "__text")]
-            codes, _ = words.of(raw)
-            counts = np.pad(counts, (0, max(0, words.known - len(counts)))) + np.bincount(codes, minlength=max(words.known, len(counts)))
-            ends += len(raw)
+            train = np.array(b.column(b.schema.get_field_index("__train")).to_pylist(), bool)
+            learn = [x for x, t in zip(raw, train, strict=True) if t]
+            if learn:
+                codes, _ = words.of(learn)
+                counts = np.pad(counts, (0, max(0, words.known - len(counts)))) + np.bincount(codes, minlength=max(words.known, len(counts)))
+                ends += len(learn)
             if words.full():
                 yield from out(1, words.keys[: words.known], counts)
                 words.clear()
                 counts = np.zeros(0, np.int64)
-            codes, distinct = pd.factorize(grams(raw, depth)[0].view(np.int64))
-            parts.append((distinct, np.bincount(codes)))
+            g, n = grams(raw, depth)
+            codes, distinct = pd.factorize(g.view(np.int64))
+            parts.append((distinct, np.bincount(codes, np.repeat(train, n), len(distinct)).astype(np.int64)))
+            packed = pa.array([_pack(b.drop_columns(["__train"]))], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([at]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), packed], names=["kind", "slice", "key", "n", "blob"])
+            size += len(g)
             if sum(len(p[0]) for p in parts) > 2_000_000:
                 parts = [merged()]
-                if len(parts[0][0]) > 1_000_000:
-                    yield from out(0, *parts.pop())
+            if len(parts[0][0]) >= most or size >= _SLICE_BYTES:
+                yield from out(0, *merged())
+                parts, size, at = [], 0, at + 1
         if parts:
             yield from out(0, *merged())
         if words.known:
@@ -192,73 +218,167 @@ def _tally(depth: int):
     return run
 
 
-def _lgamma(x: Column) -> Column:
+def _lgamma(x: np.ndarray) -> np.ndarray:
     """log gamma of x >= 1/2: Stirling's series at x + 8, shifted down."""
     y = x + 8
-    shift = F.log(x * (x + 1) * (x + 2) * (x + 3)) + F.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
-    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - shift
-
-
-def _trees(counts: DataFrame, depth: int, scratch: Scratch) -> list[DataFrame]:
-    """Nodes (ctx, node, n0, n1, stop) of each depth, from depth 0 down."""
-    log_pe = _lgamma(F.col("n0") + 0.5) + _lgamma(F.col("n1") + 0.5) - _lgamma(F.col("n0") + F.col("n1") + 1.0) - 1.1447298858494002
-    half = F.lit(-0.6931471805599453)
-    bit = F.col("x").bitwiseAND(F.expr("shiftright(128, j)")) != 0
-    leaves = (
-        counts.select(F.shiftright("key", 8).alias("ctx"), F.col("key").bitwiseAND(255).cast("int").alias("x"), "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
-        .select("ctx", F.expr("shiftleft(1, j) | shiftright(x, 8 - j)").alias("node"), F.when(bit, 0).otherwise(F.col("n")).alias("z"), F.when(bit, F.col("n")).otherwise(0).alias("o"))
-        .groupBy("ctx", "node")
-        .agg(F.sum("z").alias("n0"), F.sum("o").alias("n1"))
-    )
-    level = scratch.save(leaves.withColumn("pw", log_pe).withColumn("stop", F.lit(1.0)), f"depth{depth}")
-    out = [level]
-    for d in range(depth - 1, -1, -1):
-        mask = (1 << (8 * d)) - 1
-        up = level.groupBy(F.col("ctx").bitwiseAND(F.lit(mask).cast("long")).alias("ctx"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("split"))
-        up = up.withColumn("pe", log_pe + half).withColumn("split", F.col("split") + half)
-        top = F.greatest("pe", "split")
-        up = up.withColumn("pw", top + F.log(F.exp(F.col("pe") - top) + F.exp(F.col("split") - top)))
-        level = scratch.save(up.select("ctx", "node", "n0", "n1", "pw", F.exp(F.col("pe") - F.col("pw")).alias("stop")), f"depth{d}")
-        out.append(level)
-    return out[::-1]
-
-
-def _fold(nodes: DataFrame, d: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The depth's tables: nodes that share a slot add their counts and average their weights by count."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = slots(d, b.column(0).to_numpy(), b.column(1).to_numpy(), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(at), *b.columns[2:]], names=["slot", "n0", "n1", "stop"])
-
-    placed = nodes.select("ctx", "node", "n0", "n1", "stop").mapInArrow(place, "slot long, n0 long, n1 long, stop double")
-    n = F.col("n0") + F.col("n1")
-    rows = placed.groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(F.col("stop") * n).alias("s"))
-    rows = rows.select(F.col("slot").cast("int").alias("slot"), ((F.col("n1") + 0.5) / (n + 1)).cast("float").alias("p"), (F.col("s") / n).cast("float").alias("w"))
-    p, w = np.full(1 << bits, 0.5, np.float32), np.full(1 << bits, -1, np.float32)
-    got = rows.toArrow()  # 2 ** bits rows of 12 bytes at most
-    at = got.column("slot").to_numpy()
-    p[at], w[at] = got.column("p").to_numpy(), got.column("w").to_numpy()
-    return np.clip(p, 1e-7, 1 - 1e-7), w
+    shift = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+def _log_pe(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1.0) - 1.1447298858494002
+
+
+def _node(key: np.ndarray, j: int) -> np.ndarray:
+    """The partial byte before bit j of each gram's byte."""
+    return (1 << j) | ((key & 255) >> (8 - j))
+
+
+def _above(ids: np.ndarray, d: int) -> np.ndarray:
+    """The nodes' ids at depth d: (context << 8) | partial byte, of the context's last d bytes."""
+    return (((ids >> 8) & ((1 << (8 * d)) - 1)) << 8) | (ids & 255)
+
+
+class _Level:
+    """All nodes of one depth by id: counts, log P_w, weight to stop; `up` maps the nodes below to theirs."""
+
+    def __init__(self, ids: np.ndarray, n0: np.ndarray, n1: np.ndarray, split: np.ndarray | None):
+        self.ids, self.up = np.unique(ids, return_inverse=True)
+        add = lambda x: np.bincount(self.up, x, len(self.ids))
+        self.n0, self.n1 = add(n0), add(n1)
+        self.pw, self.stop = _log_pe(self.n0, self.n1), np.ones(len(self.ids))
+        if split is not None:
+            pe, self.pw = self.pw - _LN2, np.logaddexp(self.pw - _LN2, add(split) - _LN2)
+            self.stop = np.exp(pe - self.pw)
+        self.kt = (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
+
+    def mix(self, go: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the nodes above: the weight to go on below, the sum so far, and the estimate where the path ends here."""
+        return go * (1 - self.stop), base + go * self.stop * self.kt, base + go * self.kt
+
+
+def _levels(key: np.ndarray, n: np.ndarray, depth: int, last: int) -> list[_Level]:
+    """The levels from `depth` up to `last` over grams with training counts."""
+    key, n = key[n > 0], n[n > 0]
+    ids = np.concatenate([((key >> 8) << 8) | _node(key, j) for j in range(8)])
+    bit = np.concatenate([(key >> (7 - j)) & 1 for j in range(8)]).astype(bool)
+    n = np.tile(n, 8).astype(float)
+    out = [_Level(ids, np.where(bit, 0, n), np.where(bit, n, 0), None)]
+    for d in range(depth - 1, last - 1, -1):
+        x = out[-1]
+        out.append(_Level(_above(x.ids, d), x.n0, x.n1, x.pw))
+    return out
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _to_top(depth: int):
+    """What a task's nodes of depth 2 (of depth 1 where that is the deepest) add to those of depth 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = _gathered(batches)
+        if (n > 0).any():
+            x = _levels(key, n, depth, min(depth, 2))[-1]
+            ids, up = np.unique(_above(x.ids, 1), return_inverse=True)
+            cols = [ids, *(np.bincount(up, y, len(ids)) for y in (x.n0, x.n1, x.pw))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["id", "n0", "n1", "split"])
+
+    return run
+
+
+def _top(nodes: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the 65,536 nodes of depth 1: weight to go on, sum so far, estimate where the path ends there or above."""
+    go, base, end = np.zeros(1 << 16), np.zeros(1 << 16), np.full(1 << 16, 0.5)
+    if nodes.num_rows:
+        ids, n0, n1, split = (nodes.column(k).to_numpy() for k in ("id", "n0", "n1", "split"))
+        one = _Level(ids, n0, n1, split if depth > 1 else None)
+        root = _Level(_above(one.ids, 0), one.n0, one.n1, one.pw)
+        above = root.mix(np.ones(len(root.ids)), np.zeros(len(root.ids)))
+        every = np.arange(1 << 16) & 255
+        at = np.minimum(np.searchsorted(root.ids, every), len(root.ids) - 1)
+        end = np.where(root.ids[at] == every, above[2][at], 0.5)
+        go[one.ids], base[one.ids], end[one.ids] = one.mix(above[0][root.up], above[1][root.up])
+    return go, base, end
+
+
+def _code_lengths(depth: int, top):
+    """log10 probability of each gram's byte after its context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = _gathered(batches)
+        if not len(key):
+            return
+        go, base, end = top.value
+        ends: list[tuple[np.ndarray, np.ndarray]] = []  # ids and estimates, from depth 2 down
+        if depth > 1 and (n > 0).any():
+            levels = _levels(key, n, depth, 2)[::-1]
+            here = go[_above(levels[0].ids, 1)], base[_above(levels[0].ids, 1)]
+            for k, x in enumerate(levels):
+                if k:
+                    here = here[0][levels[k - 1].up], here[1][levels[k - 1].up]
+                *here, stop = x.mix(*here)
+                ends.append((x.ids, stop))
+        total = np.zeros(len(key))
+        for j in range(8):
+            ids = ((key >> 8) << 8) | _node(key, j)
+            p = end[_above(ids, 1)]
+            for d, (known, stop) in enumerate(ends, 2):
+                want = _above(ids, d)
+                at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+                p = np.where(known[at] == want, stop[at], p)
+            total += np.log10(np.where((key >> (7 - j)) & 1, p, 1 - p))
+        for k in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), pa.array(total[k : k + 100_000])], names=["key", "v"])
+
+    return run
+
+
+class _Lengths:
+    """The code lengths of a slice's grams: most by one look-up, those that share a place by search."""
+
+    def __init__(self, key: np.ndarray, v: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.v = key[order].view(np.uint64), v[order]
+        self.bits = max(8, len(key).bit_length() + 1)
+        self.place = np.zeros(1 << self.bits, np.int64)
+        self.place[self._at(self.key)] = np.arange(len(key))
+
+    def _at(self, g: np.ndarray) -> np.ndarray:
+        return ((g * _MUL) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def score(self, raw: list[bytes], depth: int) -> np.ndarray:
+        g, n = grams(raw, depth)
+        at = self.place[self._at(g)]
+        miss = self.key[at] != g
+        if miss.any():
+            codes, distinct = pd.factorize(g[miss])
+            found = np.searchsorted(self.key, distinct)
+            if (self.key[np.minimum(found, len(self.key) - 1)] != distinct).any():
+                raise ValueError("a slice lacks one of its grams")
+            at[miss] = found[codes]
+        return np.add.reduceat(self.v[at], np.cumsum(n) - n) if len(n) else np.zeros(0)
 
 
 def score(df: DataFrame, train: Column, depth: int = 4, most_bits: int = 22, head_words: int = 1 << 18, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns keep, n_tokens, n_known, train_tokens, base_score and score (log10), one row per input row."""
-    outputs = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "__uid", "__known", "__sum", "__tail", "__train", "__more", "__found")
+    outputs = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "__slice", "__uid", "__known", "__sum", "__tail", "__train", "__more", "__found")
     cols_in, keep, ddl = kept(df, keep, outputs)
     if not 1 <= depth <= 6:
         raise ValueError("depth is 1 to 6: a gram has to fit in a long")
     spark = df.sparkSession
     ship(spark)
     scratch = Scratch(spark, "ctw")
-    rows = df.select(*cols_in, F.col(f"`{text}`").alias("__text"), train.alias("__train"))
-    partial = rows.where("__train").select("__text").mapInArrow(_tally(depth), "kind int, key long, n long")
-    counts = scratch.save(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    trees = _trees(counts.where("kind = 0").select("key", "n"), depth, scratch)
-    bits = table_bits(depth, most_bits)
-    folded = [_fold(t, d, bits[d]) for d, t in enumerate(trees)]
-    shared = spark.sparkContext.broadcast(([f[0] for f in folded], [f[1] for f in folded]))  # under 2 ** (most_bits + 1) slots of 8 bytes
-    del folded
+    rows = df.select(*cols_in, F.col(f"`{text}`").alias("__text"), F.coalesce(train, F.lit(False)).alias("__train"))
+    told = scratch.save(rows.mapInArrow(_tally(depth, 1 << most_bits), _PASS), "slices")
+    counts = scratch.save(told.where("kind < 2").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    dealt = counts.where("kind = 0").select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(F.lit(65535).cast("long")))
+    tops = dealt.mapInArrow(_to_top(depth), "id long, n0 double, n1 double, split double").groupBy("id")
+    top = spark.sparkContext.broadcast(_top(tops.agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "split")]).toArrow(), depth))  # 65,536 rows at most
+    lengths = dealt.mapInArrow(_code_lengths(depth, top), "key long, v double")
+    pairs = told.where("kind = 0").select("slice", "key").join(lengths.hint("shuffle_hash"), "key").select(F.col("slice").alias("of"), "key", "v")
 
     words = counts.where("kind = 1").select("key", "n")
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -269,15 +389,18 @@ def score(df: DataFrame, train: Column, depth: int = 4, most_bits: int = 22, hea
     common = spark.sparkContext.broadcast((key[order], n[order]))
     ends = n[key == _END]
     end_count = int(ends[0]) if len(ends) else int((words.where(F.col("key") == _END).agg(F.sum("n")).first()[0]) or 0)
-    uid = int(np.random.Generator(np.random.PCG64()).integers(1 << 62))  # names this model in the workers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(uid, depth, shared)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        claim("ctw", lambda: None)
+        at = left.column("slice")[0].as_py() if left.num_rows else 0
+        lengths_ = _Lengths(right.column("key").to_numpy(), right.column("v").to_numpy())
+        del right
         hk, hn = common.value
         words_, gain = WordKeys(), np.zeros(0)
         known, tail = np.zeros(0, bool), np.zeros(0, bool)
-        base, at = TaskContext.get().partitionId() << 40, 0
-        for b in slices(batches, "__text", 2 << 20):
+        done_, row = [], 0
+        for blob in left.column("blob"):
+            b = pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
             if words_.full():
                 words_.clear()
                 gain, known, tail = np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)
@@ -296,14 +419,16 @@ def score(df: DataFrame, train: Column, depth: int = 4, most_bits: int = 22, hea
             per = np.bincount(owner[rare], minlength=len(raw))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32)), pa.array(words_.keys[codes[rare]]))
             cols = [b.column(b.schema.get_field_index(k)) for k in keep]
-            cols += [pa.array(base + at + np.arange(len(raw))), pa.array(n + 1), pa.array(found), pa.array(sums), pa.array(tables.score(raw)), lists]
-            at += len(raw)
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "__uid", "n_tokens", "__known", "__sum", "score", "__tail"])
-
-    done = scratch.save(rows.drop("__train").mapInArrow(run, f"{ddl}__uid long, n_tokens long, __known long, __sum double, score double, __tail array<long>"), "scored")
-    rare = done.select("__uid", F.explode("__tail").alias("key")).groupBy("__uid", "key").agg(F.count("*").alias("f"))
-    rare = rare.join(words, "key").groupBy("__uid").agg(F.sum(F.col("f") * F.log10(F.col("n") + 1.0)).alias("__more"), F.sum("f").alias("__found"))
-    return done.drop("__tail").join(rare, "__uid", "left").select(
+            cols += [pa.array(np.full(len(raw), at)), pa.array(row + np.arange(len(raw))), pa.array(n + 1), pa.array(found), pa.array(sums), pa.array(lengths_.score(raw, depth)), lists]
+            row += len(raw)
+            done_.append(pa.RecordBatch.from_arrays(cols, names=[*keep, "__slice", "__uid", "n_tokens", "__known", "__sum", "score", "__tail"]))
+        return pa.Table.from_batches(done_)
+
+    packed = told.where("kind = 2").select("slice", "blob").groupBy("slice")
+    done = scratch.save(packed.cogroup(pairs.groupBy("of")).applyInArrow(run, f"{ddl}__slice long, __uid long, n_tokens long, __known long, __sum double, score double, __tail array<long>"), "scored")
+    rare = done.select("__slice", "__uid", F.explode("__tail").alias("key")).groupBy("__slice", "__uid", "key").agg(F.count("*").alias("f"))
+    rare = rare.join(words, "key").groupBy("__slice", "__uid").agg(F.sum(F.col("f") * F.log10(F.col("n") + 1.0)).alias("__more"), F.sum("f").alias("__found"))
+    return done.drop("__tail").join(rare, ["__slice", "__uid"], "left").select(
         *keep,
         "n_tokens",
         (F.col("__known") + F.coalesce("__found", F.lit(0))).alias("n_known"),
@@ -311,15 +436,3 @@ def score(df: DataFrame, train: Column, depth: int = 4, most_bits: int = 22, hea
         (F.col("__sum") + F.coalesce("__more", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n_all + v_all + 1)))).alias("base_score"),
         "score",
     )
-
-
-_LAST: dict[int, Tables] = {}
-
-
-def _tables(uid: int, depth: int, shared) -> Tables:
-    """The model's tables and gram cache, kept by the worker for the model at hand."""
-    claim("ctw", _LAST.clear)
-    if uid not in _LAST:
-        _LAST.clear()
-        _LAST[uid] = Tables(depth, *shared.value)
-    return _LAST[uid]

@@ -210,6 +210,20 @@ def test_language_model(spark):
     assert (none["n_known"], none["train_tokens"], none["base_score"]) == (0, 0, 0.0) and none["score"] < 0
 
 
+def test_language_model_keeps_every_node(spark):
+    """The registered depth and bits against brute force; few bits make more slices and change no score."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(300)]  # deep nodes decide
+    rows = [(k, " ".join(r.choices(words, k=50))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = brute_ctw([t.encode() for d, t in rows if d % 5], [t.encode() for _, t in rows], 4)
+    off = {}
+    for bits in (12, 22):
+        got = {x["doc_id"]: x["score"] for x in ctw.score(df, F.col("doc_id") % 5 != 0, most_bits=bits).collect()}
+        off[bits] = max(abs(got[d] - s) for (d, _), s in zip(rows, model, strict=True))
+    assert max(off.values()) < 1e-6, off
+
+
 def test_tables_are_bounded_and_probabilities_sum():
     bits = ctw.table_bits(4, 22)
     assert bits[:2] == [8, 16] and sum(1 << b for b in bits) < 1 << 23
