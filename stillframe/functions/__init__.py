@@ -11,9 +11,14 @@ def key_of(pk: str) -> Column:
     return F.col(f"`{pk}`").cast("string")
 
 
-def is_blank(key: Column) -> Column:
+def join_key(pk: str, kind: str) -> Column:
+    """The same identity in its cheapest type: whole numbers as they are, all else by its string form."""
+    return F.col(f"`{pk}`").cast("long") if kind in ("INT", "LONG") else key_of(pk)
+
+
+def is_blank(key: Column, kind: str) -> Column:
     """Null, empty or white space only, Unicode spaces included."""
-    return key.isNull() | key.rlike(r"^(?U)\s*$")
+    return key.isNull() | key.rlike(r"^(?U)\s*$") if kind == "STRING" else key.isNull()
 
 
 def local_day(ts: Column, zone: str) -> Column:
@@ -44,14 +49,19 @@ def typed(raw: Column, kind: str) -> Column:
 
 
 def row_digest(columns: list[tuple[str, str]], seed: int) -> Column:
-    """64 bits of a row: position, and of each column whether it is null and its value's text with its length."""
-    parts = [F.lit(seed), F.col("_row_no")]
-    for name, _ in columns:
-        text = F.col(f"`{name}`").cast("string")
-        parts += [F.col(f"`{name}`").isNull(), F.coalesce(F.length(text), F.lit(-1)), F.coalesce(text, F.lit(""))]
+    """64 bits of a row: of each column whether it is null, and its value (doubles by their text: -0.0 is not 0.0).
+
+    A row's position is no part of it: keys are unique in a snapshot, so the sum over its rows says which rows there are,
+    however they are dealt over partitions.
+    """
+    parts = [F.lit(seed)]
+    for name, kind in columns:
+        c = F.col(f"`{name}`")
+        parts += [c.isNull(), c.cast("string") if kind == "DOUBLE" else c]
     return F.xxhash64(*parts)
 
 
-def frame_digest(columns: list[tuple[str, str]]) -> list[Column]:
-    """Aggregates that together identify a snapshot's content in row order."""
-    return [F.sum(row_digest(columns, k).cast("decimal(38,0)")).alias(f"_h{k}") for k in (1, 2)]
+def place_digest(key: str) -> Column:
+    """31 bits of a key. Their sum weighted with the rows' positions says in which order the rows are; taking the first
+    position times their plain sum from it makes it count from the first row, wherever a source starts to count."""
+    return F.xxhash64(F.lit(3), F.col(key)).bitwiseAND(F.lit((1 << 31) - 1))

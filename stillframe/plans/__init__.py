@@ -6,20 +6,24 @@ plan, so partition pruning, pushdown and top-k are the optimizer's.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..errors import InvalidArgument
 
 
 def view_table(df: DataFrame, ts: Column, key: str, zone: str = "UTC") -> DataFrame:
-    """Any frame as T; point ids by first appearance in time, ties by key. One group-by and a join on the key."""
+    """Any frame as T; point ids by first appearance in time, ties by key. One group-by and a join on the key; the
+    keys are counted here, and very many are numbered by a range sort."""
     from ..functions import local_day
+    from ..operators.numbering import numbered
+    from ..storage import scratch_root
 
     rows = df.withColumn("ts", ts.cast("long")).withColumn("_key", F.col(key).cast("string"))
-    first = rows.groupBy("_key", F.col(key).alias("__k")).agg(F.min("ts").alias("__f"))
-    ids = first.withColumn("point_id", F.row_number().over(Window.orderBy("__f", "__k"))).select("_key", "point_id")  # a row per key
+    first = rows.groupBy("_key", F.col(key).alias("_k")).agg(F.min("ts").alias("_f"))
+    ids = numbered(first, ["_f", "_k"], 0, first.count(), "point_id", f"{scratch_root(df.sparkSession)}/keys-{uuid.uuid4().hex}").select("_key", "point_id")
     return rows.join(ids, "_key").withColumn("day", local_day(F.col("ts"), zone))
 
 
@@ -29,7 +33,7 @@ def _count(n: int) -> int:
 
 
 def value_columns(t: DataFrame) -> list[str]:
-    return [c for c in t.columns if c not in ("ts", "day", "point_id", "_key", "c")]
+    return [c for c in t.columns if c not in ("ts", "day", "point_id", "_key", "c", "_place")]
 
 
 def full_snapshot(t: DataFrame, ts: int) -> DataFrame:

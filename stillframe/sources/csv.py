@@ -16,20 +16,28 @@ _NONE = "\u0000none\u0000"  # no cell is read as null by its text
 def read_csv(spark: SparkSession, schema: TableSchema, path: str) -> DataFrame:
     """One file's typed rows with _row_no in line order; the whole import is rejected if any line is malformed.
 
-    Lines are numbered by position in the file (partition, then row), so order holds without gathering rows.
+    Lines are numbered 0, 1, 2, ... through the counts of the file's splits, so the numbers are the same however the
+    file is split, and no task sees more than its split.
     """
-    lines = spark.read.text(path).withColumn("_row_no", F.monotonically_increasing_id())
     count = len(schema.columns)
+    lines = spark.read.text(path).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     empty = F.col("value") == ""
-    found = lines.agg(F.count("*").alias("n"), F.max(F.when(quotes % 2 == 1, F.col("_row_no"))).alias("open"), F.max(F.when(~empty, F.col("_row_no"))).alias("last"), F.max(F.when(empty, F.col("_row_no"))).alias("blank")).first()
-    if found["open"] is not None:
+    found = lines.groupBy("_p").agg(F.count("*").alias("n"), F.count_if(quotes % 2 == 1).alias("open"), F.max(F.when(~empty, F.col("_i"))).alias("last"), F.min(F.when(empty, F.col("_i"))).alias("blank")).orderBy("_p").collect()  # a row per split
+    if any(r["open"] for r in found):
         raise IngestRejected("a quoted cell is not closed on its line")
-    if found["last"] is None:
+    if all(r["last"] is None for r in found):
         raise IngestRejected("no rows")
-    if found["blank"] is not None and count > 1 and lines.where(empty & (F.col("_row_no") < found["last"])).limit(1).count():
+    starts, at, last, blank = [], 0, 0, None
+    for r in found:
+        starts.append((r["_p"], at))
+        last = at + r["last"] if r["last"] is not None else last
+        blank = at + r["blank"] if blank is None and r["blank"] is not None else blank
+        at += r["n"]
+    if blank is not None and count > 1 and blank < last:
         raise IngestRejected("an empty line")
-    lines = lines.where(F.col("_row_no") <= found["last"])
+    by_split = spark.createDataFrame(starts, "_p int, _start long")  # a row per split
+    lines = lines.join(F.broadcast(by_split), "_p").select("value", (F.col("_start") + F.col("_i")).alias("_row_no")).where(F.col("_row_no") <= last)
     names = [f"c{k}" for k in range(count + 1)]  # one more shows lines that are too long
     raw = T.StructType([T.StructField(n, T.StringType()) for n in names])
     options = {"escape": '"', "quote": '"', "nullValue": _NONE, "emptyValue": "", "mode": "PERMISSIVE"}

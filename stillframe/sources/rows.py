@@ -1,16 +1,16 @@
-"""Rows in memory, and DataFrames, as snapshot content."""
+"""Rows and column buffers in memory as snapshot content."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..errors import IngestRejected
-from ..schema import TYPES, TableSchema
+from ..schema import ARROW, TYPES, TableSchema
 
 _PYTHON = {"INT": int, "LONG": int, "DOUBLE": float, "STRING": str}
 _RANGE = {"INT": 1 << 31, "LONG": 1 << 63}
@@ -32,17 +32,27 @@ def from_rows(spark: SparkSession, schema: TableSchema, rows: Sequence[Sequence]
     return spark.createDataFrame([(*row, n) for n, row in enumerate(rows)], struct)
 
 
-def ordered(df: DataFrame, schema: TableSchema) -> DataFrame:
-    """A DataFrame without an order gets positions by key: a range shuffle on the key, then a count per partition."""
-    if "_row_no" in df.columns:
-        return df
-    key = F.col(f"`{schema.pk.name}`")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, key).sortWithinPartitions(key)
-    # positions need only ascend: a partition's number, then the row's number in it
-    return dealt.withColumn("_row_no", F.monotonically_increasing_id())
-
-
-def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__n = 1").drop("__n")
+def from_arrow(spark: SparkSession, schema: TableSchema, table: pa.Table) -> DataFrame:
+    """An Arrow table, columns by position, rows in its order; no Python objects are made."""
+    if table.num_columns != len(schema.columns):
+        raise IngestRejected(f"{table.num_columns} columns instead of {len(schema.columns)}")
+    if not table.num_rows:
+        raise IngestRejected("a snapshot has a row at least")
+    for c, t in zip(schema.columns, table.schema.types, strict=True):
+        if t != ARROW[c.type]:
+            raise IngestRejected(f"column {c.name} is {c.type}, not {t}")
+    numbers = pa.array(np.arange(table.num_rows))
+    return spark.createDataFrame(pa.table([*table.columns, numbers], names=[*schema.names, "_row_no"]))
+
+
+def from_columns(spark: SparkSession, schema: TableSchema, columns: Mapping[str, Sequence]) -> DataFrame:
+    """Column buffers by name (lists, numpy or Arrow arrays; None is null), all of one length."""
+    if list(columns) != schema.names:
+        raise IngestRejected(f"columns {list(columns)} instead of {schema.names}")
+    if len({len(v) for v in columns.values()}) > 1:
+        raise IngestRejected("columns differ in length")
+    try:
+        arrays = [pa.array(columns[c.name], ARROW[c.type], from_pandas=False) for c in schema.columns]
+    except (pa.ArrowInvalid, pa.ArrowTypeError, OverflowError) as e:
+        raise IngestRejected(f"a column's values are not of its type: {e}") from e
+    return from_arrow(spark, schema, pa.table(arrays, names=schema.names))

@@ -1,4 +1,8 @@
-"""Small files and folders through Hadoop's file systems, so that any store Spark can reach will do."""
+"""Small files and folders through Hadoop's file systems.
+
+The log needs a store where a file appears whole and only if it is absent: local files (by hard link) and file systems
+whose rename is atomic and never replaces a file. Others, object stores with plain puts among them, are refused.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,10 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from .errors import CommitConflict
+from .errors import CommitConflict, StorageError
+
+#: Schemes of file systems with an atomic rename that fails where the target exists.
+RENAMING = ("hdfs", "viewfs", "webhdfs", "swebhdfs", "ofs", "abfs", "abfss")
 
 
 class Store:
@@ -34,6 +41,13 @@ class Store:
     def size(self, p: str) -> int:
         return self._fs(p).getContentSummary(self._path(p)).getLength() if self.exists(p) else 0
 
+    def newest(self, p: str) -> int:
+        """The latest modification time under a folder, in epoch milliseconds."""
+        out, files = self._fs(p).getFileStatus(self._path(p)).getModificationTime(), self._fs(p).listFiles(self._path(p), True)
+        while files.hasNext():
+            out = max(out, files.next().getModificationTime())
+        return out
+
     def delete(self, p: str) -> None:
         self._fs(p).delete(self._path(p), True)
 
@@ -67,16 +81,23 @@ class Store:
             finally:
                 os.unlink(temp)
             return
-        try:
-            stream = self._fs(p).create(self._path(p), False)
-        except Exception as e:
-            if self.exists(p):
-                raise CommitConflict(p) from e
-            raise
+        if (scheme := self._fs(p).getScheme()) not in RENAMING:
+            raise StorageError(f"{scheme}: has no atomic create that this log could use")
+        temp = f"{p}.{uuid.uuid4().hex}.tmp"
+        stream = self._fs(p).create(self._path(temp), False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+        try:
+            done = not self.exists(p) and self._fs(p).rename(self._path(temp), self._path(p))
+        except Exception:
+            done = False
+        if not done:
+            self.delete(temp)
+            if self.exists(p):
+                raise CommitConflict(p)
+            raise StorageError(f"cannot create {p}")
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import threading
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -11,7 +12,8 @@ from .errors import InvalidArgument, NotFound
 
 
 class Imports:
-    def __init__(self, workers: int = 4, queue: int = 100, remember: int = 200):
+    def __init__(self, workers: int | None = None, queue: int = 100, remember: int = 200):
+        workers = workers or max(2, os.cpu_count() or 2)
         self.pool = ThreadPoolExecutor(workers)
         self.limit, self.remember = workers + queue, remember
         self.tasks: dict[str, dict] = {}
