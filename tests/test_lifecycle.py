@@ -234,7 +234,7 @@ def test_streams_survive_bad_files(spark, table, tmp_path):
     watch_csv(table, str(folder), str(tmp_path / "cp")).awaitTermination()
     assert table.snapshots() == [T0, T0 + 2] and table.snapshot(T0)["rows"] == [(1, 1.0)]
     (report,) = [n for n, _, _ in table.store.listing(f"{table.root}/_rejected")]
-    assert sorted(os.path.basename(p) for p in table.store.read_json(f"{table.root}/_rejected/{report}")) == sorted(["99999999999999999999.csv", f"b-{T0}.csv", f"c-{T0 + 1}.csv", "no%20time.csv"])
+    assert sorted(os.path.basename(p) for p in table.store.read_json(f"{table.root}/_rejected/{report}")) == sorted(["99999999999999999999.csv", f"b-{T0}.csv", f"c-{T0 + 1}.csv", "no time.csv"])
     watch_csv(table, str(folder), str(tmp_path / "other")).awaitTermination()  # a lost checkpoint: all again, nothing twice
     assert table.snapshots() == [T0, T0 + 2] and table.frame().count() == 2
 
