@@ -7,7 +7,8 @@ distinct fragment once per worker (bounded caches), and the ids are concatenated
 encoded with the end-of-word mark, the others without.
 
 Defined results: null text is empty and has no ids; an empty text decodes to an empty text; bytes that are not UTF-8
-count as U+FFFD; repeated rows are encoded each; kept columns pass through untouched, one named like an output with `_in` appended to its name.
+count as U+FFFD; repeated rows are encoded each; very long texts are encoded whole, in a batch of their own; an empty
+table gives no rows; kept columns pass through untouched, one named like an output with `_in` appended to its name.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import json
 import os
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -116,14 +118,14 @@ def _fast_spec(spec: dict) -> bool:
     )
 
 
-class PieceCoder:
-    """Encodes white-space chunks to ids, each distinct one once while it is in the cache."""
+class _Pieces:
+    """A vocabulary whose texts may be cut at white space: chunks, their pre-tokens, and the certain cuts in those."""
 
-    def __init__(self, path: str, max_chunks: int = 600_000):
+    def __init__(self, path: str, max_chunks: int = 600_000, max_bytes: int = 96 << 20):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
-        self.path, self.max_chunks = path, max_chunks
+        self.path, self.max_chunks, self.max_bytes = path, max_chunks, max_bytes
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if not _fast_spec(spec):
@@ -150,12 +152,86 @@ class PieceCoder:
                 self.joined[int(ends and k == len(bs) - 2), bs[k], bs[k + 1]] = True
         if not self.end:
             self.joined[1] = self.joined[0]
+        self.spec = spec
+        self.clear()
+
+    def chunks(self, text: bytes) -> list[bytes]:
+        """The text's white-space chunks; lower-cased early where that cannot change a result, for fewer distinct ones."""
+        if b"\xcc" not in text and b"\xcd" not in text and not any(x in text for x in self.lead):
+            return text.lower().split()
+        return text.split()
+
+    def full(self) -> bool:
+        """Whether the caches hold as many keys, or as many bytes of keys, as they may."""
+        return len(self.words) > self.max_chunks or self.held > self.max_bytes
+
+    def kind_of(self, chunks: list[bytes]) -> tuple[list[int], list[int], list[str], list[int]]:
+        """Which chunks are ASCII, which plain Latin (and their texts), which need the library's own steps."""
+        plain, latin, latin_text, other = [], [], [], []
+        for k, c in enumerate(chunks):
+            if any(map(c.__contains__, self.special)):
+                other.append(k)
+            elif c.isascii():
+                plain.append(k)
+            else:
+                s = c.decode("utf-8", "replace")
+                if _LATIN.fullmatch(s) and unicodedata.is_normalized("NFC", s):
+                    latin.append(k)
+                    latin_text.append(s)
+                else:
+                    other.append(k)
+        return plain, latin, latin_text, other
+
+    def words_of(self, s: str) -> list[str]:
+        """A chunk's pre-tokens by the library's normalizer and pre-tokenizer."""
+        return [self._text(p) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(s))]
+
+    def _text(self, piece: str) -> str:
+        return bytes(map(self.to_byte.__getitem__, piece)).decode("utf-8", "replace")
+
+    def fragments(self, words: list[str]) -> tuple[dict[tuple[bool, str], int], np.ndarray, np.ndarray]:
+        """Cut pre-tokens at pairs that no token holds: the distinct fragments (whether one closes a word, its text),
+        all fragments' codes in order, and where each pre-token's fragments end."""
+        raw = [w.encode() for w in words]
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, np.uint8)
+        text = joined.decode("latin-1").translate(self.to_char)
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        is_end = np.zeros(len(data), np.int8)
+        is_end[ends - 1] = 1
+        cut = np.ones(len(data), bool)  # cut[i]: a fragment ends after i
+        cut[:-1] = ~self.joined[is_end[1:], data[:-1], data[1:]]
+        cut[ends - 1] = True
+        stop = np.flatnonzero(cut) + 1
+        begin = np.concatenate(([0], stop[:-1]))
+        closes = is_end[stop - 1].astype(bool)
+        seen = _Codes()
+        keys = ((z, text[a:b]) for z, a, b in zip(closes.tolist(), begin.tolist(), stop.tolist(), strict=True))
+        codes = np.fromiter(map(seen.__getitem__, keys), np.int64, len(stop))
+        return seen, codes, np.searchsorted(stop, ends, side="right")
+
+    def each(self, seen: dict[tuple[bool, str], int], of):
+        """of(encoding) of every distinct fragment, by its code."""
+        out: list = [None] * len(seen)
+        for closing, tok in ((True, self.last), (False, self.inner)):
+            which = [(i, f) for (z, f), i in seen.items() if z == closing]
+            for (i, _), e in zip(which, tok.encode_batch_fast([f for _, f in which], add_special_tokens=False), strict=True):
+                out[i] = of(e)
+        return out
+
+
+class PieceCoder(_Pieces):
+    """Encodes white-space chunks to ids, each distinct one once while it is in the cache."""
+
+    def __init__(self, path: str, max_chunks: int = 600_000, max_bytes: int = 96 << 20):
+        super().__init__(path, max_chunks, max_bytes)
+        m, spec = self.spec["model"], self.spec
         size = max(max(m["vocab"].values()), *(t["id"] for t in spec["added_tokens"])) + 1 if spec["added_tokens"] else max(m["vocab"].values()) + 1
         self.token = [""] * size
         for token, i in chain(m["vocab"].items(), ((t["content"], t["id"]) for t in spec["added_tokens"])):
             self.token[i] = token
         self.decoder = spec.get("decoder")
-        self.clear()
+        del self.spec
 
     def clear(self) -> None:
         """Forget all chunks and pre-tokens; code 0 of the pre-tokens is the line end, which has no ids."""
@@ -163,16 +239,14 @@ class PieceCoder:
         self.chunk_ids, self.word_ids = _Pool(), _Pool()
         self.words["\n"]
         self.word_ids.add(np.zeros(1, np.int64), np.zeros(0, np.uint32))
+        self.held = 0
 
-    def chunks(self, text: bytes) -> list[bytes]:
-        """The text's white-space chunks; lower-cased early where that cannot change a result, for fewer distinct ones."""
-        if b"\xcc" not in text and b"\xcd" not in text and not any(x in text for x in self.lead):
-            return text.lower().split()
-        return text.split()
+    def full(self) -> bool:
+        return len(self.codes) > self.max_chunks or super().full()
 
     def encode(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch's texts, concatenated, and the offsets of the texts in them."""
-        if len(self.codes) > self.max_chunks or len(self.words) > self.max_chunks:
+        if self.full():
             self.clear()
         split = [self.chunks(x) for x in batch]
         known = len(self.codes)
@@ -183,18 +257,6 @@ class PieceCoder:
         ids, n = self.chunk_ids.take(codes)
         return ids, _edges(_edges(n), counts)
 
-    def count(self, batch: list[bytes]) -> np.ndarray:
-        """Tokens of each text: per-text chunk frequencies against each distinct chunk's count; no ids."""
-        if len(self.codes) > self.max_chunks or len(self.words) > self.max_chunks:
-            self.clear()
-        split = [self.chunks(x) for x in batch]
-        known = len(self.codes)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        if len(self.codes) > known:
-            self._learn(_newest(self.codes, len(self.codes) - known), known)
-        return np.diff(_edges(_edges(self.chunk_ids.n[codes]), counts))
-
     def _learn(self, chunks: list[bytes], first: int) -> None:
         """Encode chunks not seen before; chunk k gets code first + k."""
         collecting = gc.isenabled()
@@ -206,20 +268,9 @@ class PieceCoder:
                 gc.enable()
 
     def _learn_chunks(self, chunks: list[bytes], first: int) -> None:
-        plain, latin, other = [], [], []
-        latin_text, found = [], []
-        for k, c in enumerate(chunks):
-            if any(map(c.__contains__, self.special)):
-                other.append(k)
-            elif c.isascii():
-                plain.append(k)
-            else:
-                s = c.decode("utf-8", "replace")
-                if _LATIN.fullmatch(s) and unicodedata.is_normalized("NFC", s):
-                    latin.append(k)
-                    latin_text.append(s)
-                else:
-                    other.append(k)
+        found: list = []
+        self.held += 2 * sum(map(len, chunks))
+        plain, latin, latin_text, other = self.kind_of(chunks)
         found += _ASCII_WORDS.findall("".join(f"{chunks[k].decode()}\n" for k in plain).lower())
         found += _LATIN_WORDS.findall("".join(f"{s}\n" for s in latin_text).lower())
         for k in other:  # by the library, its own normalizer and pre-tokenizer
@@ -232,8 +283,7 @@ class PieceCoder:
                     self.words[key]
                     self.word_ids.add(np.array([len(ids)]), ids)
             else:
-                found += [self._text(p) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(s))]
-                found.append("\n")
+                found += [*self.words_of(s), "\n"]
         codes = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
         if len(self.words) > len(self.word_ids.n):
             self._learn_words(_newest(self.words, len(self.words) - len(self.word_ids.n)))
@@ -248,39 +298,16 @@ class PieceCoder:
         ids, n = own.take(back)
         self.chunk_ids.add(n, ids)
 
-    def _text(self, piece: str) -> str:
-        return bytes(map(self.to_byte.__getitem__, piece)).decode("utf-8", "replace")
-
     def _learn_words(self, words: list[str]) -> None:
-        """Cut pre-tokens at pairs that no token holds, encode each distinct fragment, concatenate their ids."""
+        """Encode each distinct fragment of the pre-tokens and concatenate their ids."""
         if not words:
             return
-        raw = [w.encode() for w in words]
-        joined = b"".join(raw)
-        data = np.frombuffer(joined, np.uint8)
-        text = joined.decode("latin-1").translate(self.to_char)
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-        is_end = np.zeros(len(data), np.int8)
-        is_end[ends - 1] = 1
-        cut = np.ones(len(data), bool)  # cut[i]: a fragment ends after i
-        cut[:-1] = ~self.joined[is_end[1:], data[:-1], data[1:]]
-        cut[ends - 1] = True
-        stop = np.flatnonzero(cut) + 1
-        begin = np.concatenate(([0], stop[:-1]))
-        closes = is_end[stop - 1].astype(bool)
-        seen = _Codes()
-        keys = ((z, text[a:b]) for z, a, b in zip(closes.tolist(), begin.tolist(), stop.tolist(), strict=True))
-        codes = np.fromiter(map(seen.__getitem__, keys), np.int64, len(stop))
-        ids_of: list = [None] * len(seen)
-        for closing, tok in ((True, self.last), (False, self.inner)):
-            which = [(i, f) for (z, f), i in seen.items() if z == closing]
-            for (i, _), e in zip(which, tok.encode_batch_fast([f for _, f in which], add_special_tokens=False), strict=True):
-                ids_of[i] = e.ids
+        seen, codes, edge = self.fragments(words)
+        ids_of = self.each(seen, lambda e: e.ids)
         pool = _Pool()
         n = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
         pool.add(n, np.fromiter(chain.from_iterable(ids_of), np.uint32, int(n.sum())))
         ids, n = pool.take(codes)
-        edge = np.searchsorted(stop, ends, side="right")
         self.word_ids.add(np.diff(_edges(n)[np.concatenate(([0], edge))]), ids)
 
     def decode(self, ids: list[int]) -> str:
@@ -290,8 +317,123 @@ class PieceCoder:
         return " ".join(map(self.token.__getitem__, ids))
 
 
+class PieceCounter(_Pieces):
+    """Counts tokens: the pieces of each distinct pre-token once while it is in the cache, as one number; no ids."""
+
+    def clear(self) -> None:
+        self.words, self.pieces, self.held = _Codes(), np.zeros(1024, np.int32), 0
+
+    def count(self, batch: list[bytes]) -> np.ndarray:
+        """Tokens of each text: its pre-tokens' frequencies, joined to the pieces of each distinct one, and summed."""
+        if self.full():
+            self.clear()
+        split = [self.chunks(x) for x in batch]
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        here = _Codes()
+        codes = np.fromiter(map(here.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        words, per_chunk = self._words(list(here))
+        # the occurrences of each chunk in each text, then of each pre-token
+        keys, times = np.unique(np.repeat(np.arange(len(batch)), n) * max(1, len(here)) + codes, return_counts=True)
+        text, chunk = np.divmod(keys, max(1, len(here)))
+        size = per_chunk[chunk]
+        end = np.cumsum(size)
+        first = _edges(per_chunk)[chunk]
+        word = words[np.repeat(first - (end - size), size) + np.arange(int(size.sum()))]
+        return np.bincount(np.repeat(text, size), np.repeat(times, size) * self.pieces[word], len(batch)).astype(np.int64)
+
+    def _words(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of all chunks' pre-tokens, concatenated, and each chunk's number of them; new ones are counted."""
+        plain, latin, latin_text, other = self.kind_of(chunks)
+        collecting = gc.isenabled()
+        gc.disable()  # many small strings and no cycles
+        try:
+            found: list = _ASCII_WORDS.findall("".join(f"{chunks[k].decode()}\n" for k in plain).lower())
+            found += _LATIN_WORDS.findall("".join(f"{s}\n" for s in latin_text).lower())
+            for k in other:
+                s = chunks[k].decode("utf-8", "replace")
+                if any(map(chunks[k].__contains__, self.special)):
+                    found += [("whole", s), "\n"]  # special strings: the library sees the chunk as it is
+                else:
+                    found += [*self.words_of(s), "\n"]
+            known = len(self.words)
+            codes = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+            if len(self.words) > known:
+                self._learn(_newest(self.words, len(self.words) - known), known)
+        finally:
+            if collecting:
+                gc.enable()
+        ends = np.flatnonzero(codes == self.words["\n"])
+        sizes = np.empty(len(chunks), np.int64)
+        order = np.array(plain + latin + other, np.int64)
+        by_order = np.diff(np.concatenate(([-1], ends))) - 1
+        sizes[order] = by_order
+        # pre-tokens in the order of the chunks
+        codes = np.delete(codes, ends)
+        start = np.empty(len(chunks), np.int64)
+        start[order] = np.cumsum(by_order) - by_order
+        end = np.cumsum(sizes)
+        return codes[np.repeat(start - (end - sizes), sizes) + np.arange(len(codes))], sizes
+
+    def _learn(self, new: list, first: int) -> None:
+        while first + len(new) > len(self.pieces):
+            self.pieces = np.concatenate((self.pieces, np.zeros_like(self.pieces)))
+        got = np.zeros(len(new), np.int32)
+        for k, w in enumerate(new):
+            if isinstance(w, tuple):
+                got[k] = len(self.tok.encode(w[1], add_special_tokens=False))
+        plain = [k for k, w in enumerate(new) if isinstance(w, str) and w and w != "\n"]
+        if plain:
+            seen, codes, edge = self.fragments([new[k] for k in plain])
+            pieces = np.array(self.each(seen, len), np.int64)[codes]  # the length of an encoding, not its ids
+            got[plain] = np.diff(_edges(pieces)[np.concatenate(([0], edge))])
+        self.pieces[first : first + len(new)] = got
+        self.held += sum(len(w) if isinstance(w, str) else len(w[1]) for w in new)
+
+
+class LibraryCounter:
+    """Counts with any other tokenizer file. A .json file's pre-tokens, whatever they hold, are counted once each while
+    cached; texts that hold an added token, and .model files, go through their library whole, and only the length stays."""
+
+    def __init__(self, path: str, max_words: int = 600_000, max_bytes: int = 96 << 20):
+        self.max_words, self.max_bytes = max_words, max_bytes
+        self.pieces: dict[str, int] = {}
+        self.held = 0
+        self.model = path.endswith(".model")
+        if self.model:
+            import sentencepiece
+
+            self.p = sentencepiece.SentencePieceProcessor(model_file=path)
+            return
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_padding()
+        self.tok.no_truncation()
+        self.bare = Tokenizer(self.tok.model)
+        with open(path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    def count(self, batch: list[bytes]) -> np.ndarray:
+        return np.array([self._one(x.decode("utf-8", "replace")) for x in batch], np.int64)
+
+    def _one(self, text: str) -> int:
+        if self.model:
+            return len(self.p.encode(text))
+        if any(map(text.__contains__, self.added)) or self.tok.pre_tokenizer is None:
+            return len(self.tok.encode(text, add_special_tokens=False))
+        if len(self.pieces) > self.max_words or self.held > self.max_bytes:
+            self.pieces, self.held = {}, 0
+        text = self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
+        often = Counter(p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text))
+        for p in often:
+            if p not in self.pieces:
+                self.pieces[p] = len(self.bare.encode(p, add_special_tokens=False))
+                self.held += len(p)
+        return sum(n * self.pieces[p] for p, n in often.items())
+
+
 class LibraryCoder:
-    """Any other tokenizer file, whole texts through its own library; the same three calls."""
+    """Any other tokenizer file, whole texts through its own library; the same two calls."""
 
     def __init__(self, path: str):
         self.path = path
@@ -314,9 +456,6 @@ class LibraryCoder:
         n = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), np.concatenate(([0], np.cumsum(n)))
 
-    def count(self, batch: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(len, self._ids([x.decode("utf-8", "replace") for x in batch])), np.int64, len(batch))
-
     def decode(self, ids: list[int]) -> str:
         return self._text(ids)
 
@@ -340,6 +479,22 @@ def _load(path: str, max_chunks: int) -> PieceCoder | LibraryCoder:
     return LibraryCoder(path)
 
 
+def counter(path: str) -> PieceCounter | LibraryCounter:
+    """One counter per worker and file, in the coder's place."""
+    claim("counter", _load_counter.cache_clear)
+    return _load_counter(path)
+
+
+@lru_cache(maxsize=1)
+def _load_counter(path: str) -> PieceCounter | LibraryCounter:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            if _fast_spec(json.load(f)):
+                return PieceCounter(path)
+    return LibraryCounter(path)
+
+
 def encode_decode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = True, max_chunks: int = MAX_CHUNKS) -> DataFrame:
     """Columns keep, then ids array<int>, and decoded string unless turned off. One row per input row; map-only."""
     ship(df.sparkSession)

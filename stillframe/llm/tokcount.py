@@ -1,13 +1,15 @@
 """Operator 5: token counts without ids.
 
-Texts are cut into white-space pre-tokens; a pre-token's number of pieces is found once per distinct pre-token (while
-it stays in the worker's bounded cache), gathered by each text's pre-token occurrences and summed. The distinct
-pre-tokens stay inside the task: shuffling them per document would write several times the input. Other tokenizer
-files, whose pre-tokens hold white space, go through their library text by text.
+Texts are cut into pre-tokens. In each slice of a task's texts the distinct pre-tokens are joined to the texts'
+pre-token frequencies, each with its number of pieces, which is found once per distinct pre-token (while it stays in
+the worker's cache, bounded by entries and bytes) and kept as a number: no id list is stored or passed on. The join is
+within the task, so nothing is shuffled. Other .json files do the same with their own pre-tokenizer; .model files, which
+have none, count whole texts.
 
 Defined results: null text is empty, with 0 bytes and 0 tokens; special strings inside texts count as the library's
-default has it (one token each where the file names them); repeated rows give a row each; columns not kept are
-ignored, a kept one named like an output gets `_in` appended to its name.
+default has it (one token each where the file names them); repeated rows give a row each; very long texts are counted
+whole; an empty table gives no rows; columns not kept are ignored, a kept one named like an output gets `_in` appended
+to its name.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._util import kept, ship, slices, texts
-from .bpe import coder
+from .bpe import counter
 
 
 def count_tokens(df: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -29,8 +31,8 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 2048, text: str = "
     cols_in, names, ddl = kept(df, keep, outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(tokenizer)
-        for b in slices(batches, "__text"):
+        c = counter(tokenizer)
+        for b in slices(batches, "__text", 4 << 20):
             raw = texts(b, "__text")
             n = c.count(raw)
             cols = [b.column(b.schema.get_field_index(k)) for k in names]
