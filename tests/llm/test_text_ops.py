@@ -39,7 +39,34 @@ def test_coder_equals_library_on_odd_texts(coder):
         got = ids[off[k] : off[k + 1]].tolist()
         assert got == library(t), t
         assert coder.decode(got) == LIBRARY.decode(got, skip_special_tokens=False)
-    assert coder.count([t.encode() for t in ODD]).tolist() == [len(library(t)) for t in ODD]
+    c = bpe.PieceCounter(WORDS)
+    assert c.count([t.encode() for t in ODD]).tolist() == [len(library(t)) for t in ODD]
+    assert c.count([t.encode() for t in ODD[::-1] * 2]).tolist() == [len(library(t)) for t in ODD[::-1] * 2]
+
+
+def arrays_of(x):
+    return {k: v for k, v in vars(x).items() if isinstance(v, (np.ndarray, bpe._Pool))}
+
+
+def test_counter_stores_numbers_only():
+    c = bpe.PieceCounter(WORDS)
+    c.count([("supercalifragilistic " * 3 + t).encode() for t in ODD])
+    assert set(arrays_of(c)) == {"joined", "pieces"} and len(c.words) <= len(c.pieces) < 2 * max(1024, len(c.words))
+    long = c.pieces[c.words["supercalifragilistic"]]
+    assert long == len(library("supercalifragilistic")) > 2
+    small = bpe.PieceCounter(WORDS, max_chunks=2, max_bytes=40)
+    for t in ODD:
+        assert small.count([t.encode()]).tolist() == [len(library(t))]
+    assert len(small.words) < 3000
+
+
+def test_caches_are_bounded_by_bytes():
+    r = random.Random(2)
+    huge = ["".join(r.choice("abcdefgh") for _ in range(60_000)) for _ in range(8)]
+    for c, call in ((bpe.PieceCounter(WORDS, max_bytes=100_000), "count"), (bpe.PieceCoder(WORDS, max_bytes=100_000), "encode")):
+        for t in huge:
+            getattr(c, call)([t.encode()])
+            assert c.held <= 100_000 + 2 * 60_000 + 10 and len(c.words) <= 4
 
 
 @settings(max_examples=300, deadline=None)
@@ -102,7 +129,9 @@ def test_counts(docs, name):
 def test_elias_fano(values, repeat):
     v = np.sort(np.array(values * (repeat + 1), np.int64))
     ef, at = tokenstore.EliasFano.load(memoryview(tokenstore.EliasFano.of(v).dump()), 0)
-    assert ef.all().tolist() == v.tolist() and ef.select(np.arange(len(v))).tolist() == v.tolist()
+    assert ef.select(np.arange(len(v))).tolist() == v.tolist()
+    for x in {*v.tolist()[:5], 0, 7}:
+        assert ef.find(x) == (int(np.searchsorted(v, x)), int(np.searchsorted(v, x, side="right")))
 
 
 def test_elias_fano_is_small():
@@ -122,6 +151,40 @@ def test_store(docs, tmp_path):
     assert sorted(got, key=lambda r: r["start"]) == want
     shards = docs.sparkSession.read.parquet(path)
     assert shards.count() > 3 and all(r["n_ids"] < 50 + 6000 for r in shards.select("n_ids").collect())
+    spark = docs.sparkSession
+    for doc, times in ((5, 1), (901, 2), (77_777, 0)):
+        one = tokenstore.read_document(spark, path, doc).collect()
+        assert [r["ids"] for r in one] == [[*library(t), 2] for d, t in ((r["doc_id"], r["text"]) for r in docs.collect()) if d == doc] and len(one) == times
+
+
+def test_one_document_is_read_by_select(monkeypatch):
+    """A look-up asks for two offsets, however many documents there are, and makes no table of them."""
+    n = 20_000
+    sizes = np.random.default_rng(3).integers(1, 40, n)
+    ids = np.arange(int(sizes.sum())) % 50_000
+    blob = tokenstore.pack([None, None, *range(0, 3 * (n - 2), 3)], np.cumsum(sizes), ids, 2)
+    shard, asked = tokenstore.Shard(blob), []
+    select = tokenstore.EliasFano.select
+    monkeypatch.setattr(tokenstore.EliasFano, "select", lambda self, i: asked.append(len(i)) or select(self, i))
+    (got,) = shard.find(3 * 9_998)
+    assert got.tolist() == ids[sizes[:10_000].sum() : sizes[:10_001].sum()].tolist() and sum(asked) < 40
+    assert shard.find(1) == [] and shard.doc_ids(0, 4) == [None, None, 0, 3] and shard.edges(0, 2).tolist() == [0, sizes[0], sizes[:2].sum()]
+    assert len(blob) < ids.size * 2 + n * 2
+
+
+def test_hot_doc_ids_are_dealt_in_order(spark, tmp_path):
+    rows = [(7, f"text {k % 300}") for k in range(400)] + [(None, f"none {k}") for k in range(300)] + [(k, "a") for k in range(-40, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = sorted(tokenstore.store_and_read(df, WORDS, path=str(tmp_path / "s"), shard_ids=100).collect(), key=lambda r: r["start"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ids = [r["doc_id"] for r in got]
+    assert ids == [None] * 300 + sorted(d for d, _ in rows if d is not None)
+    assert [r["start"] for r in got] == np.concatenate(([0], np.cumsum([r["n_tokens"] for r in got])[:-1])).tolist()
+    of = spark.read.parquet(str(tmp_path / "s")).groupBy("part").agg(F.sum("n_docs").alias("n")).collect()
+    assert max(r["n"] for r in of) < 250  # half of the rows have one doc_id
 
 
 def test_empty_tables(spark):
