@@ -71,8 +71,9 @@ def copies(seed=5):
     return [*rows, rows[0], rows[0]]
 
 
-@pytest.mark.parametrize("words, block", [(4, 512), (5, 4)])
-def test_near_duplicates(spark, words, block):
+@pytest.mark.parametrize("words, block, hot", [(4, 512, 2000), (5, 4, 5)])
+def test_near_duplicates(spark, words, block, hot, monkeypatch):
+    monkeypatch.setattr(neardup, "_HOT", hot)  # buckets of more members are dealt over several tasks
     rows = copies()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1)).repartition(3)
     sets = {d: shingles(t, words) for d, t in rows}
@@ -82,6 +83,9 @@ def test_near_duplicates(spark, words, block):
     got = neardup.near_duplicates(df, words=words, block=block).collect()
     assert len(got) == len(rows)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {d: (len(sets[d]), want[d], want[d] == d) for d in ids}
+    if block == 4:  # blocks by bytes rather than rows
+        same = neardup.near_duplicates(df, words=words, block_bytes=3000).collect()
+        assert sorted(map(str, same)) == sorted(map(str, got))
     left = neardup.drop_near_duplicates(df, words=words, block=block)
     assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(set(want.values()))
 
@@ -94,6 +98,31 @@ def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert got == {(None, 2): (9, False), (9, 2): (9, True), (None, 1): (None, True), (3, 0): (3, True)}
 
 
+def test_near_duplicates_without_ids(spark):
+    """Null-id rows are linked by their text; one row of each component stays, the one with an id where there is one."""
+    r = random.Random(11)
+    base = [["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(100)] for _ in range(2)]
+    near = lambda k, at: " ".join([*base[k][:at], "changed", *base[k][at + 1 :]])
+    rows = [(None, near(0, 9)), (5, near(0, 50)), (None, near(0, 90)), (None, near(1, 9)), (None, near(1, 80)), (None, near(1, 80)), (None, "  "), (None, ""), (None, None), (None, None), (8, "x y"), (8, "x y"), (8, "z z z z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("k")).withColumn("__doc", F.lit(1)).repartition(4)
+    got = sorted(str((x["doc_id"], x["component_id"], x["kept"])) for x in neardup.near_duplicates(df).collect())
+    assert got == sorted(["(None, 5, False)"] * 2 + ["(5, 5, True)"] + ["(None, None, True)"] * 7 + ["(8, 8, True)"] * 3)
+    left = neardup.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    left = [(x["doc_id"], x["text"]) for x in left.collect()]
+    assert len(left) == 1 + 1 + 4 + 1 and (5, near(0, 50)) in left and sum(t in (near(1, 9), near(1, 80)) for _, t in left) == 1 and sum(d == 8 for d, _ in left) == 1
+    again = neardup.drop_near_duplicates(df.repartition(2)).collect()  # the same row of a repeated doc_id, however it is dealt
+    assert {x["text"] for x in again if x["doc_id"] == 8} == {t for d, t in left if d == 8}
+
+
+def test_bitmap_follows_the_number_of_ids(spark):
+    few = neardup.Bitmap(spark.range(100), "id")
+    more = neardup.Bitmap(spark.range(0, 1_000_000, 2), "id")
+    assert few.size == neardup._LEAST_BITS and 4_000_000 <= more.size <= 8 << 20
+    at = np.array([x[0] for x in spark.range(200_000).select(more.at(F.col("id"))).collect()])
+    held = more.holds(more.bits, at)
+    assert held[::2].all() and held[1::2].mean() < 0.2
+
 def brute_hits(text, items, window=10):
     words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
     w, hit, found = words(text), set(), set()
