@@ -41,3 +41,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+#: Numbers up to this one stand for rows without an id.
+MADE = -(1 << 62)
+
+
+def named(component: DataFrame) -> DataFrame:
+    """Components under their smallest real id rather than a made number, where they have one."""
+    name = component.where(F.col("node") > MADE).groupBy("component").agg(F.min("node").alias("name"))
+    return component.join(name, "component", "left").select("node", F.coalesce("name", "component").alias("component"))

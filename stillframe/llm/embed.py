@@ -9,9 +9,14 @@ the original vectors in double precision. A pair of tiles returns link counts an
 
 Tiles have at most about `tile` vectors: one that gets more (equal positions on the axis) is split by hash.
 
+Where more than one pair in fifty survives the leading axes of a block of rows, one product of the whole vectors takes
+the place of the steps in between; the final test, and so the result, is the same.
+
 Defined results: null, zero, non-finite or null-holding vectors have no links; vectors of different lengths are not
-compared; equal vectors are linked; rows that repeat a vec_id are one node, each row counting as a vector; a row with
-a null vec_id counts in others' n_links, has null component_id and is not kept. An empty table gives no rows.
+compared; equal vectors are linked; a cosine equal to the threshold links; rows that repeat a vec_id are one node, each
+row counting as a vector; a row with a null vec_id is compared and counted like any other, has null component_id and is
+not kept, and a component is named by its smallest vec_id that is not null (vec_ids are above -2^62). Columns other
+than the two named are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._util import Scratch, ship
-from .components import connected_components
+from .components import MADE, connected_components, named
 
 _TILE = "tile long, n int, lo double, hi double, ids binary, sizes binary, vectors binary"
 
@@ -189,8 +194,8 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.95, tile: int = 2
     scratch = Scratch(spark, "embed")
     rows = df.select(df[vec_id].cast("long").alias("vec_id"), df[vector].alias("vector"))
     rows = scratch.save(rows.mapInArrow(_prepare, "vec_id long, dim int, vector binary, digest binary"), "vectors")
-    classes = scratch.save(rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("dim").alias("dim")), "classes")
-    reps = rows.select("digest", "vec_id", "vector").join(classes, "digest").where("vec_id = rep").groupBy("digest").agg(F.first("rep").alias("rep"), F.first("size").alias("size"), F.first("dim").alias("dim"), F.first("vector").alias("vector"))
+    classes = scratch.save(rows.where("digest is not null").groupBy("digest").agg(F.coalesce(F.min("vec_id"), F.lit(MADE) - 1 - F.xxhash64("digest").bitwiseAND(F.lit((1 << 61) - 1))).alias("rep"), F.count("*").alias("size"), F.first("dim").alias("dim")), "classes")
+    reps = rows.select("digest", "vec_id", "vector").join(classes, "digest").where((F.col("vec_id") == F.col("rep")) | (F.col("rep") <= MADE)).groupBy("digest").agg(F.first("rep").alias("rep"), F.first("size").alias("size"), F.first("dim").alias("dim"), F.first("vector").alias("vector"))
     reps = scratch.save(reps.drop("digest"), "reps")
     found = None
     for r in reps.select("dim").distinct().orderBy("dim").toLocalIterator():
@@ -202,7 +207,7 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.95, tile: int = 2
         out = out.withColumn("links", F.lit(0)).withColumn("component", F.col("rep"))
     else:
         counts = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
-        component = connected_components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")), scratch).withColumnRenamed("node", "rep")
+        component = named(connected_components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")), scratch)).withColumnRenamed("node", "rep")
         out = out.join(counts, "rep", "left").join(component, "rep", "left")
     out = out.select("vec_id", (own + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

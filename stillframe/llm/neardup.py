@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._util import Scratch, claim, ship, slices, texts
-from .components import connected_components
+from .components import MADE, connected_components, named
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _LEAST_BITS, _MOST_BITS = 1 << 20, 1 << 28  # of the bitmap of documents to rebuild
@@ -314,8 +314,8 @@ def _components(docs: DataFrame, words: int, percent: int, bands: int, rows: int
     ship(spark)
     scratch = Scratch(spark, "neardup")
     all_rows = scratch.save(_signatures(docs, words, bands, rows), "signatures")
-    named = F.min(F.when(F.col("doc_id") > _MADE, F.col("doc_id")))
-    classes = scratch.save(all_rows.where("digest is not null").groupBy("digest").agg(F.coalesce(named, F.min("doc_id")).alias("rep")), "classes")
+    known = F.min(F.when(F.col("doc_id") > MADE, F.col("doc_id")))
+    classes = scratch.save(all_rows.where("digest is not null").groupBy("digest").agg(F.coalesce(known, F.min("doc_id")).alias("rep")), "classes")
     # a doc_id whose texts differ is one node: the sets and keys of all its texts count
     reps = all_rows.where("digest is not null").join(classes.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
 
@@ -345,19 +345,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("rep"))
     if component is not None:
         if lost:
-            component = _named(component)
+            component = named(component)
         out = out.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
     if lost:  # numbers made here leave again
-        out = out.select(*[F.when(F.col(c) > _MADE, F.col(c)).alias(c) if c != "n_shingles" else c for c in ("doc_id", "n_shingles", "rep")])
+        out = out.select(*[F.when(F.col(c) > MADE, F.col(c)).alias(c) if c != "n_shingles" else c for c in ("doc_id", "n_shingles", "rep")])
     return out.select("doc_id", "n_shingles", F.col("rep").alias("component_id"), (F.col("rep").isNull() | F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(False))).alias("kept"))
 
 
-#: Numbers up to this one stand for texts without a doc_id.
-_MADE = -(1 << 62)
-
-
 def _with_ids(docs: DataFrame) -> tuple[bool, DataFrame]:
-    """Whether rows lack a doc_id, and docs with numbers below _MADE in their place, equal for equal texts; texts
+    """Whether rows lack a doc_id, and docs with numbers below MADE in their place, equal for equal texts; texts
     without a word, which are linked with nothing, stay without."""
     if docs.where("doc_id is null").isEmpty():
         return False, docs
@@ -365,13 +361,7 @@ def _with_ids(docs: DataFrame) -> tuple[bool, DataFrame]:
 
 
 def _made(text: str):
-    return F.when(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(_MADE) - 1 - F.xxhash64(F.col(f"`{text}`")).bitwiseAND(F.lit((1 << 61) - 1)))
-
-
-def _named(component: DataFrame) -> DataFrame:
-    """Components under their smallest doc_id rather than a made number, where they have one."""
-    name = component.where(F.col("node") > _MADE).groupBy("component").agg(F.min("node").alias("name"))
-    return component.join(name, "component", "left").select("node", F.coalesce("name", "component").alias("component"))
+    return F.when(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(MADE) - 1 - F.xxhash64(F.col(f"`{text}`")).bitwiseAND(F.lit((1 << 61) - 1)))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -390,7 +380,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         key = F.coalesce(key, _made(text))
     found, component = _components(numbered, options.pop("words", 5), options.pop("percent", 80), options.pop("bands", 50), options.pop("rows", 6), options.pop("block", 512), options.pop("block_bytes", 4 << 20))
     if component is not None:
-        component = _named(component) if lost else component
+        component = named(component) if lost else component
         found = found.join(component, "node", "left").withColumn("node", F.coalesce("component", "node"))
     found = found.select("doc_id", (F.col("doc_id") == F.col("node")).alias("kept"))
     found = scratch.save(found, "found")
