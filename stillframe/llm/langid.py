@@ -3,12 +3,14 @@
 Sparse multinomial logistic regression over hashed character 1- to 3-grams (lower case, runs of non-letters as one
 boundary class) weighted by TF-IDF, trained with FTRL-proximal under an elastic net, then calibrated by a temperature
 on rows that the training did not see. Document frequencies cover every training document. The classifier is fitted on
-a bounded sample: about `per_lang` documents of each language, chosen by a hash of their id, of the `max_langs`
-languages with most rows. The label, source and id are no input of a prediction.
+a bounded sample: about `per_lang` documents of each language, chosen by a hash of their id and text; every language is
+learned. The driver holds 1 MB a language while it fits, and 256 kB a language are broadcast. The label, source and id are no input of a prediction.
+
+With fewer than 20 rows to calibrate on, or one language, the temperature is 1 and scores are as learned.
 
 Defined results: null text or text without a letter gives 'und' with score 0; so does every text when no row can be
 learned from; equal scores go to the first language by name; rows with null lang are not learned from; a null id counts
-as id remainder 0; repeated rows get the same prediction; very long texts are read whole; a kept column named like an output
+as id remainder 0; repeated rows get the same prediction and are learned from once; an empty table gives no rows; very long texts are read whole; a kept column named like an output
 gets `_in` appended to its name.
 """
 
@@ -127,16 +129,16 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(df: DataFrame, train: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", per_lang: int = 500, max_langs: int = 200) -> Model:
+def fit(df: DataFrame, train: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", per_lang: int = 500) -> Model:
     """Learn from the rows where train holds and lang is not null."""
     spark = df.sparkSession
     ship(spark)
     rows = df.select(df[doc_id].alias("doc_id"), df[lang].alias("lang"), df[text].alias("__text"), train.alias("__train")).where("__train and lang is not null")
-    n_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    n_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not n_of:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     share = F.create_map(*[F.lit(x) for k, n in n_of.items() for x in (k, min(1.0, per_lang / n))])
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid"))
+    order = F.xxhash64(F.col("doc_id").cast("string"), "__text", F.lit("langid"))
     unit = (F.pmod(order, F.lit(1 << 30)) / float(1 << 30)).alias("__unit")
     rows = rows.select("lang", "__text", order.alias("__order"), F.coalesce(unit < F.try_element_at(share, F.col("lang")), F.lit(False)).alias("__fit"))
 
@@ -168,7 +170,7 @@ def fit(df: DataFrame, train: Column, lang: str = "lang", text: str = "text", do
         df_counts[r["idx"]] = r["n"]
     idf = np.log((1 + total) / (1 + df_counts).clip(max=1 + total)) + 1
     langs = sorted(n_of)
-    sample = got.where("lang is not null").toPandas().sort_values(["order", "lang"], kind="stable")
+    sample = got.where("lang is not null").dropDuplicates(["order", "lang"]).toPandas().sort_values(["order", "lang"], kind="stable")
     scratch.clear()
     data = [(langs.index(r.lang), (i := np.asarray(r.idx, np.int64)), np.asarray(r.val, float) * idf[i] * _SCALE) for r in sample.itertuples()]
     held, learn = data[::5], [x for k, x in enumerate(data) if k % 5]
@@ -182,7 +184,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     """Columns keep, lang_pred and score (the calibrated probability of the prediction); map-only."""
     spark = df.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS x max_langs floats at most
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS floats a language
     cols_in, names, ddl = kept(df, keep, ("lang_pred", "score"))
     own = names[keep.index(text)] if text in keep else "__text"  # a kept text is not sent twice
 
