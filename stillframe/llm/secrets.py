@@ -1,7 +1,7 @@
 """Operator 8: secret scans by a linear-chain conditional random field.
 
 Texts are cut at ASCII white space into tokens; a CRF tags each as secret begin, inside or outside from its shape, its
-neighbours' shapes and features of the whole text, and Viterbi finds the best tags. Three base patterns always hold
+neighbours' shapes and, where they are among `CUES`, words, and features of the whole text, and Viterbi finds the best tags. Three base patterns always hold
 (assignments, access keys, hex runs); the CRF adds spans of kind `crf` where it finds more, and never takes one away.
 
 The CRF is trained here, at first use in a process, on lines made by a seeded generator (`training_lines`): no corpus
@@ -10,8 +10,9 @@ distinct token; where outside beats the other tags by more than all transitions
 certain, and Viterbi runs on the runs between such tokens, with the result of a run over the whole text.
 
 Defined results: null text is empty and has no spans; spans are in code points, end exclusive, ordered by start, then
-kind as in KINDS; spans of one pattern never overlap; a CRF span that touches a base span is left out; invalid UTF-8
-counts as U+FFFD; repeated rows get the same spans; a kept column named like an output gets `_in` appended to its name
+kind as in KINDS; spans of one pattern never overlap; of a CRF span that touches base spans its parts outside them
+stay, but for what precedes an assignment in its own token (that is part of its name); invalid UTF-8 counts as U+FFFD;
+repeated rows get the same spans; very long texts are scanned whole, in a batch of their own; an empty table gives no rows; a kept column named like an output gets `_in` appended to its name
 (redaction returns every column under its own name).
 """
 
@@ -43,6 +44,11 @@ _PLAIN = re.compile(rb"[\"'(]?[A-Za-z\x80-\xff]{1,20}[.,;:!?)\"']{0,2}")
 _KEYWORD = re.compile(rb"(?i)pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key|signature")
 _STRIP = "\"'`,;()[]{}<>#*|"
 TAGS = ("O", "B", "I")
+#: Words whose identity is a feature, of a token and its neighbours: what names secrets, and what names harmless codes.
+CUES = frozenset(
+    b"password passwd passphrase pwd secret token key keys bearer basic authorization auth login credential credentials private signing webhook backup recovery license pin code otp "
+    b"commit revision sha md5 checksum digest hash uuid guid id order invoice tracking serial isbn doi build version release session model part number ref sku case batch article user file path url email phone".split()
+)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,8 +65,10 @@ def _bucket(x: float, edges: tuple) -> int:
 
 def shape(token: bytes) -> tuple[str, ...]:
     """The token's features."""
-    if _PLAIN.fullmatch(token) and not (word := _KEYWORD.search(token)):
-        return ("plain", f"plainlen{_bucket(len(token), (4, 10, 16))}", *(("colon",) if token.endswith(b":") else ()))
+    word = token.strip(b"\"'`,;()[]{}<>#*|.!?:=").lower()
+    cue = (f"w={word.decode()}",) if word in CUES else ()
+    if _PLAIN.fullmatch(token) and not _KEYWORD.search(token):
+        return ("plain", f"plainlen{_bucket(len(token), (4, 10, 16))}", *(("colon",) if token.endswith(b":") else ()), *cue)
     core = token.strip(b"\"'`,;()[]{}<>#*|.!?")
     name, sep, value = (core.partition(b"=") if b"=" in core[:-1] else core.partition(b":")) if re.match(rb"[A-Za-z_][A-Za-z0-9_.-]{1,30}[=:][^/=]", core) else (b"", b"", core)
     value = value.strip(b"\"'") or core
@@ -102,7 +110,7 @@ def shape(token: bytes) -> tuple[str, ...]:
         out.append("joint")
     if token.endswith((b":", b"=")):
         out.append("opens")
-    return tuple(out)
+    return (*out, *cue)
 
 
 def _syllables(r: random.Random, pool: list[str]) -> str:
@@ -140,15 +148,28 @@ def training_lines(n: int = 1200, seed: int = 7) -> list[tuple[list[str], list[i
             lambda: [r.choice("#$%&*=-") * r.randint(2, 12)], lambda: ["<div", f'class="{_syllables(r, pools[0])}-{r.randint(1, 9)}">'], lambda: ["the", r.choice(["token", "secret", "password", "key"]), "of", *prose(2)],
             lambda: [_syllables(r, pools[1]) + r.choice(["###", "$$$", "&&&", "%%%"])], lambda: [f"{_syllables(r, pools[0])}_{_syllables(r, pools[1])}({_syllables(r, pools[1])})"], lambda: [" ".join("4" + rand(dig, 15, 15) for _ in range(1))],
             lambda: ["".join(_syllables(r, pools[1]) for _ in range(r.randint(4, 9)))], lambda: ["Copyright", "(c)", str(r.randint(1990, 2030)), *prose(2)], lambda: [f"{rand(low, 4, 9)}={rand(low, 3, 10)};"], lambda: [f"password:", r.choice(["none", "required", "unchanged"])],
+            lambda: [r.choice(["C:\\", "/", "src='/", "~/"]) + r.choice(["\\", "/", "/"]).join(_syllables(r, pools[1]) + r.choice(["", "", f"_v{r.randint(1, 9)}"]) for _ in range(r.randint(2, 5))) + r.choice([".txt", ".png'", ".docx", ""])],
+            lambda: ["-".join([_syllables(r, pools[1]) + r.choice(["", rand(dig, 1, 2), "_64"]) for _ in range(r.randint(2, 4))])],
             lambda: [f"#{rand('0123456789abcdef', 6, 6)}"], lambda: [f"{rand(up, 2, 4)}-{rand(dig, 3, 6)}"],
+            named, named, named, named,
+            lambda: [f"{rand(low, 2, 4)}.{rand(dig, 1, 3)}@{_syllables(r, pools[0])}{rand(dig, 0, 2)}.{r.choice(['example', 'test'])}.{r.choice(['com', 'org'])}{r.choice(['', '&&&', '###', '$$$', '%%%'])}"],
         ])()
 
+    def named() -> list[str]:
+        """A code that its word says is none of the secret ones."""
+        code = r.choice([
+            lambda: rand("0123456789abcdef", 7, 15), lambda: "-".join(rand("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)), lambda: rand(up + dig, 8, 18), lambda: f"{rand(up, 2, 3)}{rand(dig, 6, 14)}",
+            lambda: f"{rand(up, 1, 3)}-{rand(dig, 2, 6)}-{rand(up + dig, 2, 8)}", lambda: f"10.{rand(dig, 4, 4)}/{rand(low + dig, 5, 14)}", lambda: rand(low + dig, 6, 12),
+        ])()
+        cue = r.choice(["commit", "revision", "sha", "md5", "checksum", "digest", "hash", "uuid", "guid", "id", "order", "invoice", "tracking", "serial", "isbn", "doi", "build", "version", "release", "model", "part", "ref", "sku", "case", "batch", "article"])
+        return [*prose(r.randint(0, 2)), r.choice([cue, cue.capitalize()]) + r.choice(["", ":", "", "="]), *([r.choice(["number", "no.", "is"])] if r.random() < 0.2 else []), code + r.choice(["", "", ".", ","])]
+
     def planted() -> tuple[list[str], list[int]]:
         q, s = r.choice(["", '"', "'"]), secret()
         name = r.choice(["password", "passwd", "pwd", "secret", "client_secret", "token", "access_token", "api_key", "apikey", "API-KEY", "auth", "private_key", "aws_secret_access_key", "DB_PASSWORD"])
         return r.choice([
             lambda: ([name, r.choice(["=", ":", ":=", "is"]), f"{q}{s}{q}"], [0, 0, 1]), lambda: ([f"{name}:", f"{q}{s}{q}"], [0, 1]), lambda: ([f"{name}={q}{s}{q}"], [1]), lambda: (["Authorization:", "Bearer", s], [0, 0, 1]),
-            lambda: ([f"{q}{s}{q}"], [1]), lambda: ([r.choice(["backup", "recovery", "app"]), f"{name}:", *(g := groups())], [0, 0, 1] + [2] * (len(g) - 1)),
+            lambda: ([f"{q}{s}{q}"], [1]), lambda: ([r.choice(["login", "credentials:", "pin", "otp", "signing", "webhook"]), *([r.choice(["key", "code", "secret", "is"])] if r.random() < 0.5 else []), f"{q}{s}{q}"], None), lambda: ([r.choice(["backup", "recovery", "app"]), f"{name}:", *(g := groups())], [0, 0, 1] + [2] * (len(g) - 1)),
         ])()
 
     out = []
@@ -159,6 +180,7 @@ def training_lines(n: int = 1200, seed: int = 7) -> list[tuple[list[str], list[i
             tags += [0] * len(p)
             if r.random() < 0.45:
                 a, b = planted()
+                b = b or [0] * (len(a) - 1) + [1]
             else:
                 a = harmless()
                 b = [0] * len(a)
@@ -214,50 +236,54 @@ def trained(n: int = 1200, seed: int = 7, rounds: int = 120) -> Crf:
     for k in range(4):
         names.setdefault(f"file_odd{k}", len(names))
     f, m, length = len(names), len(lines), max(len(t) for t, _ in lines)
-    x = np.zeros((m, length, 4, f), np.float32)
-    y = np.zeros((m, length), np.int64)
-    mask = np.zeros((m, length), np.float32)
+    kinds: dict[tuple, int] = {}  # distinct shapes
+    sid, y = np.zeros((m, length), np.int64), np.zeros((m, length), np.int64)
+    mask, file = np.zeros((m, length), bool), np.zeros((m, f))
     for i, (tokens, tags) in enumerate(lines):
         shapes = [shape(t.encode()) for t in tokens]
-        file = [names[s] for s in file_features(sum("keyword" in s or "keynamed" in s for s in shapes), sum("plain" not in s for s in shapes), len(tokens))]
-        for t, s in enumerate(shapes):
-            own = [names[k] for k in s]
-            x[i, t, 0, own] = 1
-            if t + 1 < len(tokens):
-                x[i, t + 1, 1, own] = 1
-            if t:
-                x[i, t - 1, 2, own] = 1
-            x[i, t, 3, file] = 1
-        y[i, : len(tags)], mask[i, : len(tags)] = tags, 1
-    x = x.reshape(m, length, 4 * f)
-    flat = x.reshape(-1, 4 * f)
-    ends = mask.sum(axis=1).astype(int) - 1
-    gold_e = np.einsum("mlf,mlt->ft", x, np.eye(3, dtype=np.float32)[y] * mask[:, :, None])
+        sid[i, : len(tags)] = [kinds.setdefault(s, len(kinds)) for s in shapes]
+        y[i, : len(tags)], mask[i, : len(tags)] = tags, True
+        file[i, [names[k] for k in file_features(sum("keyword" in s or "keynamed" in s for s in shapes), sum("plain" not in s for s in shapes), len(tokens))]] = 1
+    has = np.zeros((len(kinds), f))
+    for s, k in kinds.items():
+        has[k, [names[x] for x in s]] = 1
+    ends = mask.sum(axis=1) - 1
+    at, after, before = mask, mask[:, 1:], mask[:, 1:]  # a token, one with a predecessor, one with a successor
+    sources = ((at, sid[at]), (after, sid[:, :-1][after]), (before, sid[:, 1:][before]))
     gold_t = np.zeros((3, 3))
-    for i, (_, tags) in enumerate(lines):
+    for _, tags in lines:
         for a, b in zip([0, *tags], [*tags, 0], strict=True):
             gold_t[a, b] += 1
+    gold = np.eye(3)[y] * mask[:, :, None]
+    per_kind = lambda ids, v: np.stack([np.bincount(ids, v[:, t], len(kinds)) for t in range(3)], axis=1)
     w, trans = np.zeros((4 * f, 3)), np.zeros((3, 3))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(trans), np.zeros_like(trans)]
-    lse = lambda v, axis: (top := v.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - top).sum(axis=axis))
     rows = np.arange(m)
     for step in range(1, rounds + 1):
-        e = (flat @ w.astype(np.float32)).reshape(m, length, 3).astype(float)
-        alpha, beta = np.zeros((m, length, 3)), np.zeros((m, length, 3))
-        alpha[:, 0] = e[:, 0] + trans[0]
+        parts = [has @ v for v in w.reshape(4, f, 3)[:3]]
+        e = np.repeat((file @ w.reshape(4, f, 3)[3])[:, None, :], length, axis=1)
+        for target, (here, ids), part in zip((e, e[:, 1:], e[:, :-1]), sources, parts, strict=True):
+            target[here] += part[ids]
+        # forward and backward on probabilities, rescaled at each step; posteriors are rescaled to 1 in the end
+        step_to, here = np.exp(trans), np.exp(e - e.max(axis=2, keepdims=True))
+        alpha, beta = np.empty((m, length, 3)), np.ones((m, length, 3))
+        alpha[:, 0] = here[:, 0] * step_to[0]
         for t in range(1, length):
-            alpha[:, t] = e[:, t] + lse(alpha[:, t - 1, :, None] + trans, 1)
+            alpha[:, t] = (alpha[:, t - 1] / alpha[:, t - 1].sum(axis=1, keepdims=True)) @ step_to * here[:, t]
         for t in range(length - 1, -1, -1):
             if t + 1 < length:
-                beta[:, t] = lse(trans[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[ends == t, t] = trans[:, 0]
-        z = lse(alpha[rows, ends] + trans[:, 0], 1)
-        p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-        pair = np.exp(np.clip(alpha[:, :-1, :, None] + trans + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None], -700, 1)) * mask[:, 1:, None, None]
+                beta[:, t] = (here[:, t + 1] * beta[:, t + 1]) @ step_to.T
+                beta[:, t] /= beta[:, t].sum(axis=1, keepdims=True)
+            beta[ends == t, t] = step_to[:, 0]
+        p = alpha * beta
+        p *= mask[:, :, None] / p.sum(axis=2, keepdims=True)
+        pair = alpha[:, :-1, :, None] * step_to * (here[:, 1:] * beta[:, 1:])[:, :, None, :]
+        pair *= mask[:, 1:, None, None] / pair.sum(axis=(2, 3), keepdims=True)
         gt = pair.sum(axis=(0, 1)) - gold_t
         gt[0] += p[:, 0].sum(axis=0)
         gt[:, 0] += p[rows, ends].sum(axis=0)
-        gw = flat.T @ p.reshape(-1, 3).astype(np.float32) - gold_e
+        off = p - gold
+        gw = np.concatenate([has.T @ per_kind(ids, v[here]) for (here, ids), v in zip(sources, (off, off[:, 1:], off[:, :-1]), strict=True)] + [file.T @ off.sum(axis=1)])
         for k, (v, g) in enumerate(((w, gw + 0.3 * w), (trans, gt + 3.0 * trans))):
             a, b = state[2 * k], state[2 * k + 1]
             a[...] = 0.9 * a + 0.1 * g
@@ -269,8 +295,8 @@ def trained(n: int = 1200, seed: int = 7, rounds: int = 120) -> Crf:
 class Scanner:
     """The CRF with a bounded cache of distinct tokens' emissions."""
 
-    def __init__(self, crf: Crf, max_tokens: int = 200_000):
-        self.crf, self.max_tokens = crf, max_tokens
+    def __init__(self, crf: Crf, max_tokens: int = 200_000, max_bytes: int = 64 << 20):
+        self.crf, self.max_tokens, self.max_bytes = crf, max_tokens, max_bytes
         self.clear()
 
     def clear(self) -> None:
@@ -279,11 +305,12 @@ class Scanner:
         self.flags = np.zeros(1 << 12, np.uint8)  # 1: may hold a base match, 2: names a secret, 4: no plain word
         self.like: dict[tuple, int] = {}
         self.kind = np.zeros(1 << 12, np.int32)
-        self.kinds = 0
+        self.kinds = self.held = 0
 
     def _learn(self, new: list[bytes], first: int) -> None:
         while first + len(new) > len(self.kind):
             self.kind, self.flags = (np.concatenate((x, np.zeros_like(x))) for x in (self.kind, self.flags))
+        self.held += sum(map(len, new))
         for k, token in enumerate(new, first):
             s = shape(token)
             if s not in self.like:
@@ -297,7 +324,7 @@ class Scanner:
 
     def scan(self, batch: list[bytes]) -> list[list[tuple[int, int, int]]]:
         """Each text's spans: (start, kind number, end), ordered."""
-        if len(self.codes) > self.max_tokens:
+        if len(self.codes) > self.max_tokens or self.held > self.max_bytes:
             self.clear()
         split = [x.split() for x in batch]
         known = len(self.codes)
@@ -339,19 +366,31 @@ class Scanner:
             spans = base_spans(text) if base[k] else []
             if k in tagged:
                 at = [m.span() for m in _TOKEN.finditer(text)]
-                taken = [(a, b) for a, _, b in spans]
+                base_here = spans[:]
                 for a, b in tagged[k]:
-                    lo, hi = at[a][0], at[b - 1][1]
-                    while lo < hi and text[lo] in _STRIP:
-                        lo += 1
-                    while hi > lo and text[hi - 1] in _STRIP:
-                        hi -= 1
-                    if lo < hi and not any(x < hi and lo < y for x, y in taken):
-                        spans.append((lo, 3, hi))
+                    spans += [(lo, 3, hi) for lo, hi in _outside(text, at[a][0], at[b - 1][1], base_here)]
             out[k] = sorted(spans)
         return out
 
 
+def _outside(text: str, lo: int, hi: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of text[lo:hi] that no base span covers, without the signs around them."""
+    out, at = [], lo
+    for x, kind, y in [*((x, k, y) for x, k, y in base if x < hi and lo < y), (hi, -1, hi)]:
+        a, z = at, min(x, hi)
+        if kind == 0:  # what comes before an assignment in the same token belongs to its name
+            while a < z and not text[z - 1].isspace():
+                z -= 1
+        while a < z and (text[a] in _STRIP or text[a].isspace()):
+            a += 1
+        while z > a and (text[z - 1] in _STRIP or text[z - 1].isspace()):
+            z -= 1
+        if a < z:
+            out.append((a, z))
+        at = max(at, y)
+    return out
+
+
 class _Numbered(dict):
     def __missing__(self, key):
         v = self[key] = len(self)
