@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from ._util import Scratch, claim, kept, ship, slices, texts
 
 BUCKETS = 1 << 16
+OUTPUTS = ("lang_pred", "score", "known")
+COMMON = 0.01
 _SCALE = 100.0  # relative term frequencies are small numbers; one constant brings logits into range
 
 
@@ -38,6 +40,7 @@ class Model:
     weights: np.ndarray  # BUCKETS x languages, idf included
     bias: np.ndarray
     temperature: float
+    common: np.ndarray  # the buckets that a share COMMON of the training documents has
 
 
 @lru_cache(maxsize=1)
@@ -67,16 +70,17 @@ def ngrams(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (h >> np.uint64(48)).astype(np.int64), owner[:size][some]
 
 
-def scores(m: Model, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Logits before the temperature, and the number of n-grams of each text."""
+def scores(m: Model, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits before the temperature, the number of n-grams of each text, and how many of them are common."""
     total = np.zeros((len(raw), len(m.langs)))
-    count = np.zeros(len(raw), np.int64)
+    count, known = np.zeros(len(raw), np.int64), np.zeros(len(raw))
     for h, owner in ngrams(raw):
         here, first = np.unique(owner, return_index=True)
         if len(here):
             total[here] += np.add.reduceat(m.weights[h], first, axis=0, dtype=np.float64)
             count += np.bincount(owner, minlength=len(raw))
-    return total * (_SCALE / np.maximum(count, 1))[:, None] + m.bias, count
+            known += np.bincount(owner, m.common[h], len(raw))
+    return total * (_SCALE / np.maximum(count, 1))[:, None] + m.bias, count, known
 
 
 def _features(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -136,7 +140,7 @@ def fit(df: DataFrame, train: Column, lang: str = "lang", text: str = "text", do
     rows = df.select(df[doc_id].alias("doc_id"), df[lang].alias("lang"), df[text].alias("__text"), train.alias("__train")).where("__train and lang is not null")
     n_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not n_of:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, np.zeros(BUCKETS, bool))
     share = F.create_map(*[F.lit(x) for k, n in n_of.items() for x in (k, min(1.0, per_lang / n))])
     order = F.xxhash64(F.col("doc_id").cast("string"), "__text", F.lit("langid"))
     unit = (F.pmod(order, F.lit(1 << 30)) / float(1 << 30)).alias("__unit")
@@ -177,15 +181,16 @@ def fit(df: DataFrame, train: Column, lang: str = "lang", text: str = "text", do
     w, bias = ftrl(learn or data, len(langs))
     logits = np.array([x @ w[i] + bias for _, i, x in held])
     t = temperature(logits, np.array([y for y, _, _ in held])) if len(held) >= 20 and len(langs) > 1 else 1.0
-    return Model(langs, (w * idf[:, None]).astype(np.float32), bias, t)
+    return Model(langs, (w * idf[:, None]).astype(np.float32), bias, t, df_counts >= max(1, COMMON * total))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns keep, lang_pred and score (the calibrated probability of the prediction); map-only."""
+    """Columns keep, lang_pred, score (the calibrated probability of the prediction) and known (the share of the text's
+    n-grams that are common in training: small for a language that is none of the learned ones); map-only."""
     spark = df.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS floats a language
-    cols_in, names, ddl = kept(df, keep, ("lang_pred", "score"))
+    cols_in, names, ddl = kept(df, keep, OUTPUTS)
     own = names[keep.index(text)] if text in keep else "__text"  # a kept text is not sent twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,15 +199,16 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         for b in slices(batches, own, 1 << 18):
             raw = texts(b, own)
             if m.langs:
-                logits, count = scores(m, raw)
+                logits, count, known = scores(m, raw)
                 v = logits / m.temperature
                 v = np.exp(v - v.max(axis=1, keepdims=True))
                 best = v.argmax(axis=1)
                 p = np.where(count > 0, v.max(axis=1) / v.sum(axis=1), 0.0)
+                known = known / np.maximum(count, 1)
                 pred = [m.langs[k] if n else "und" for k, n in zip(best, count, strict=True)]
             else:
-                p, pred = np.zeros(len(raw)), ["und"] * len(raw)
+                p, known, pred = np.zeros(len(raw)), np.zeros(len(raw)), ["und"] * len(raw)
             cols = [b.column(b.schema.get_field_index(k)) for k in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(p, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(p, pa.float64()), pa.array(known, pa.float64())], names=[*names, *OUTPUTS])
 
-    return df.select(*cols_in, *[F.col(f"`{text}`").alias("__text")] * (text not in keep)).mapInArrow(run, f"{ddl}lang_pred string, score double")
+    return df.select(*cols_in, *[F.col(f"`{text}`").alias("__text")] * (text not in keep)).mapInArrow(run, f"{ddl}lang_pred string, score double, known double")
