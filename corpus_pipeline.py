@@ -14,13 +14,8 @@ from pyspark.sql import functions as F
 from stillframe.llm import bpe, decontam, langid, neardup, secrets
 from stillframe.llm._util import Scratch, bound_batches, kept_names
 
-#: How far above an even guess among the learned languages, as a share of the way to certainty, the best one has to be.
-MIN_LANG_MARGIN = 0.1
-
-
-def least_score(langs: int) -> float:
-    """The least calibrated probability of a document's best language; with one language nothing can be told by it."""
-    return 1 / langs + MIN_LANG_MARGIN * (1 - 1 / langs)
+#: The least share of a document's n-grams that are common in the learned languages.
+MIN_KNOWN = 0.25
 
 
 def _own(out: DataFrame, docs: DataFrame, outputs: tuple[str, ...]) -> DataFrame:
@@ -29,7 +24,7 @@ def _own(out: DataFrame, docs: DataFrame, outputs: tuple[str, ...]) -> DataFrame
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised language; those without a letter, or like no learned language, go.
+    """Documents of a recognised language; those without a letter, or of letters as no learned language puts them, go.
 
     Null and empty texts have no letter and go; rows without lang are not learned from and stay or go by their text;
     very long texts are read whole; equal scores go to the first language by name; repeated rows stay or go together;
@@ -40,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     got = langid.predict(docs, model, keep=tuple(docs.columns))
     if not model.langs:  # nothing to learn from: nothing to reject by
         return docs
-    return _own(got.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score(len(model.langs)))), docs, ("lang_pred", "score"))
+    return _own(got.where((F.col("lang_pred") != "und") & (F.col("known") >= MIN_KNOWN)), docs, langid.OUTPUTS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
