@@ -4,10 +4,13 @@ Equal vectors are one class, compared once. Vectors are normalised, rotated to p
 sample; a rotation changes no cosine), and dealt into tiles along the first axis. Two unit vectors with cosine c are
 sqrt(2 - 2c) apart, so tiles further apart on the axis than that need no comparison. A pair of tiles is compared by
 accumulating the leading axes first: the product of the remaining norms bounds what is missing, one matrix product
-gives sum and bound for all pairs, and only pairs that can still reach the threshold go on, at last to the cosine of
-the original vectors in double precision. A pair of tiles returns link counts and a spanning forest, never all links.
+gives sum and bound for all pairs. Tiles hold the first quarter of the axes and the norm of the rest, in single
+precision, and nothing else; a pair of tiles names its rows with a partner that can still reach the threshold, and only
+their whole vectors are sent to be compared, at last by the cosine of the original vectors in double precision. A pair
+of tiles returns row ids, link counts and a spanning forest, never all pairs or links.
 
-Tiles have at most about `tile` vectors: one that gets more (equal positions on the axis) is split by hash.
+Tiles have at most about `tile` vectors, and at most 16 MB of whole ones: one that gets more (equal positions on the
+axis) is split by hash. Comparing stays quadratic in the distinct vectors within reach on the axis.
 
 Where more than one pair in fifty survives the leading axes of a block of rows, one product of the whole vectors takes
 the place of the steps in between; the final test, and so the result, is the same.
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from ._util import Scratch, ship
 from .components import MADE, connected_components, named
 
-_TILE = "tile long, n int, lo double, hi double, ids binary, sizes binary, vectors binary"
+_TILE = "tile long, lo double, hi double, ids binary, leads binary"
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +105,23 @@ def compare(a: np.ndarray, b: np.ndarray, same: bool, size_a: np.ndarray, size_b
     return count_a, count_b, _roots(parent)
 
 
+def can_link(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a and of b (leading axes, then the norm of the rest) have a partner that may reach the threshold;
+    equal arrays if it is the same tile."""
+    slack = np.float32(threshold - 1e-4)
+    some_a, some_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    across = b.T.copy()
+    for start in range(0, len(a), 512):
+        can = a[start : start + 512] @ across >= slack
+        if same:
+            can &= np.arange(len(b))[None, :] > (start + np.arange(len(can)))[:, None]
+        some_a[start : start + len(can)] = can.any(axis=1)
+        some_b |= can.any(axis=0)
+    if same:
+        some_a |= some_b
+    return some_a, some_a if same else some_b
+
+
 def _roots(parent: np.ndarray) -> np.ndarray:
     while True:
         up = parent[parent]
@@ -133,35 +153,38 @@ def _dim_links(reps: DataFrame, dim: int, threshold: float, tile: int, pca_rows:
         u = _unit(np.frombuffer(b"".join(sample), np.float64).reshape(-1, dim))
         values, vectors = np.linalg.eigh(u.T @ u)
         basis = np.ascontiguousarray(vectors[:, np.argsort(values)[::-1]])
-    first = basis[:, 0].copy()
     steps = tuple(sorted({max(1, min(dim, k)) for k in (dim // 4, dim // 2)}))
 
+    tile = max(1, min(tile, (16 << 20) // (8 * dim)))
+
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                v = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float64).reshape(-1, dim)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_unit(v) @ first)], names=["rep", "size", "vector", "at"])
+                turned = _unit(np.frombuffer(b"".join(b.column(2).to_pylist()), np.float64).reshape(-1, dim)) @ basis
+                tail = np.sqrt((turned[:, steps[0] :] ** 2).sum(axis=1))
+                leads = np.column_stack((turned[:, : steps[0]], tail)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(turned[:, 0].copy()), pa.array([r.tobytes() for r in leads], pa.binary())], names=["rep", "size", "vector", "at", "lead"])
 
-    placed = scratch.save(reps.select("rep", "size", "vector").mapInArrow(along, "rep long, size long, vector binary, at double"), "placed")
+    placed = scratch.save(reps.select("rep", "size", "vector").mapInArrow(along, "rep long, size long, vector binary, at double, lead binary"), "placed")
     tiles = max(1, -(-n // tile))
     cuts = np.array(sorted(set(placed.approxQuantile("at", [k / tiles for k in range(1, tiles)], 0.2 / tiles)))) if tiles > 1 else np.zeros(0)
     shared_cuts = spark.sparkContext.broadcast(cuts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            where = np.searchsorted(shared_cuts.value, b.column(3).to_numpy(), side="right")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(where)], names=["rep", "size", "vector", "at", "band"])
+            where = np.searchsorted(shared_cuts.value, b.column(1).to_numpy(), side="right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(where)], names=["rep", "at", "lead", "band"])
 
-    dealt = placed.mapInArrow(deal, "rep long, size long, vector binary, at double, band long")
+    dealt = placed.select("rep", "at", "lead").mapInArrow(deal, "rep long, at double, lead binary, band long")
     halves = dealt.groupBy("band").agg(F.ceil(F.count("*") / tile).cast("int").alias("split"))
     dealt = dealt.join(halves, "band").withColumn("tile", F.col("band") * (1 << 24) + F.pmod(F.xxhash64("rep", F.lit("tile")), F.col("split")))
 
     def pack(t: pa.Table) -> pa.Table:
         at = t.column("at").to_numpy()
-        row = [t.column("tile")[0].as_py(), t.num_rows, at.min(), at.max(), t.column("rep").to_numpy().astype(np.int64).tobytes(), t.column("size").to_numpy().astype(np.int64).tobytes(), b"".join(t.column("vector").to_pylist())]
-        return pa.table({"tile": pa.array([row[0]], pa.int64()), "n": pa.array([row[1]], pa.int32()), "lo": pa.array([row[2]], pa.float64()), "hi": pa.array([row[3]], pa.float64()), "ids": pa.array([row[4]], pa.binary()), "sizes": pa.array([row[5]], pa.binary()), "vectors": pa.array([row[6]], pa.binary())})
+        row = [t.column("tile")[0].as_py(), at.min(), at.max(), t.column("rep").to_numpy().astype(np.int64).tobytes(), b"".join(t.column("lead").to_pylist())]
+        return pa.table({"tile": pa.array([row[0]], pa.int64()), "lo": pa.array([row[1]], pa.float64()), "hi": pa.array([row[2]], pa.float64()), "ids": pa.array([row[3]], pa.binary()), "leads": pa.array([row[4]], pa.binary())})
 
-    packed = scratch.save(dealt.select("tile", "rep", "size", "vector", "at").groupBy("tile").applyInArrow(pack, _TILE), "tiles")
+    packed = scratch.save(dealt.select("tile", "rep", "at", "lead").groupBy("tile").applyInArrow(pack, _TILE), "tiles")
     meta = packed.select("tile", "lo", "hi").toArrow()  # a row per tile
     order = np.argsort(meta.column("lo").to_numpy(), kind="stable")
     lo, hi, number = (meta.column(c).to_numpy()[order] for c in ("lo", "hi", "tile"))
@@ -169,25 +192,38 @@ def _dim_links(reps: DataFrame, dim: int, threshold: float, tile: int, pca_rows:
     last = np.searchsorted(lo, hi + reach, side="right") - 1
     ranks = spark.createDataFrame([(int(t), k, int(z)) for k, (t, z) in enumerate(zip(number, last, strict=True))], "tile long, rank int, last int")
     ranked = packed.join(ranks, "tile")
-    left = ranked.select(F.col("rank").alias("i"), F.explode(F.sequence("rank", "last")).alias("j"), F.col("ids").alias("ids_a"), F.col("sizes").alias("sizes_a"), F.col("vectors").alias("vectors_a"))
-    right = ranked.select(F.col("rank").alias("j"), F.col("ids").alias("ids_b"), F.col("sizes").alias("sizes_b"), F.col("vectors").alias("vectors_b"))
+    left = ranked.select(F.col("rank").alias("i"), F.explode(F.sequence("rank", "last")).alias("j"), F.col("ids").alias("ids_a"), F.col("leads").alias("leads_a"))
+    right = ranked.select(F.col("rank").alias("j"), F.col("ids").alias("ids_b"), F.col("leads").alias("leads_b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 r = {c: b.column(m)[k].as_py() for m, c in enumerate(b.schema.names)}
-                ids_a, ids_b, size_a, size_b = (np.frombuffer(r[c], np.int64) for c in ("ids_a", "ids_b", "sizes_a", "sizes_b"))
-                va, vb = (np.frombuffer(r[c], np.float64).reshape(-1, dim) for c in ("vectors_a", "vectors_b"))
+                ids_a, ids_b = (np.frombuffer(r[c], np.int64) for c in ("ids_a", "ids_b"))
+                la, lb = (np.frombuffer(r[c], np.float32).reshape(-1, steps[0] + 1) for c in ("leads_a", "leads_b"))
                 same = r["i"] == r["j"]
-                ca, cb, parent = compare(va, vb, same, size_a, size_b, basis, threshold, steps)
-                ids, links = (ids_a, ca) if same else (np.concatenate((ids_a, ids_b)), np.concatenate((ca, cb)))
-                some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[parent[some]])], names=["node", "links", "parent"])
-
-    return scratch.save(left.join(right, "j").select("i", "j", "ids_a", "ids_b", "sizes_a", "sizes_b", "vectors_a", "vectors_b").mapInArrow(run, "node long, links long, parent long"), "links")
-
-
-def near_duplicate_vectors(df: DataFrame, threshold: float = 0.95, tile: int = 2048, pca_rows: int = 4096, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
+                some_a, some_b = can_link(la, lb, same, threshold)
+                for side, ids in enumerate((ids_a[some_a],) if same else (ids_a[some_a], ids_b[some_b])):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), v, np.int32)) for v in (r["i"], r["j"], side)] + [pa.array(ids)], names=["i", "j", "side", "rep"])
+
+    def run(t: pa.Table) -> pa.Table:
+        same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        side = t.column("side").to_numpy()
+        ids, sizes = t.column("rep").to_numpy(), t.column("size").to_numpy()
+        vectors = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(-1, dim)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
+        ca, cb, parent = compare(vectors[a], vectors[b], same, sizes[a], sizes[b], basis, threshold, steps)
+        ids, links = (ids[a], ca) if same else (np.concatenate((ids[a], ids[b])), np.concatenate((ca, cb)))
+        some = np.flatnonzero(links)
+        return pa.table({"node": pa.array(ids[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "parent": pa.array(ids[parent[some]], pa.int64())})
+
+    pairs = left.join(right, "j").select("i", "j", "ids_a", "ids_b", "leads_a", "leads_b")
+    left_over = scratch.save(pairs.mapInArrow(survivors, "i int, j int, side int, rep long"), "survivors")
+    whole = left_over.join(placed.select("rep", "size", "vector"), "rep")
+    return scratch.save(whole.groupBy("i", "j").applyInArrow(run, "node long, links long, parent long"), "links")
+
+
+def near_duplicate_vectors(df: DataFrame, threshold: float = 0.95, tile: int = 8192, pca_rows: int = 4096, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """vec_id, n_links, component_id and kept, one row per input row."""
     spark = df.sparkSession
     ship(spark)

@@ -216,3 +216,22 @@ def test_both_ways_through_a_tile_agree():
         count, _, _ = embed.compare(a, a, True, ones, ones, basis, 0.95, (4, 8))
         u = a / np.linalg.norm(a, axis=1, keepdims=True)
         assert count.tolist() == ((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()
+
+
+def test_rows_without_a_reachable_partner_are_not_sent():
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(700, 32)), rng.normal(size=(40, 32))
+    b[7] = a[600] + rng.normal(size=32) * 0.01
+    a[3] = a[650] * 2
+
+    def lead(v):
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        return u, np.column_stack((u[:, :8], np.linalg.norm(u[:, 8:], axis=1))).astype(np.float32)
+
+    (ua, la), (ub, lb) = lead(a), lead(b)
+    across, within = ua @ ub.T >= 0.95, np.triu(ua @ ua.T >= 0.95, 1)
+    some_a, some_b = embed.can_link(la, lb, False, 0.95)
+    assert (some_a >= across.any(axis=1)).all() and (some_b >= across.any(axis=0)).all()
+    assert some_a[600] and some_b[7] and some_a.mean() < 0.5
+    some, again = embed.can_link(la, la, True, 0.95)
+    assert (some == again).all() and (some >= (within.any(axis=1) | within.any(axis=0))).all() and some[3] and some[650]
