@@ -362,7 +362,7 @@ class _Lengths:
         return np.add.reduceat(self.v[at], np.cumsum(n) - n) if len(n) else np.zeros(0)
 
 
-def score(df: DataFrame, train: Column, depth: int = 4, most_bits: int = 22, head_words: int = 1 << 18, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(df: DataFrame, train: Column, depth: int = 5, most_bits: int = 22, head_words: int = 1 << 18, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns keep, n_tokens, n_known, train_tokens, base_score and score (log10), one row per input row."""
     outputs = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "__slice", "__uid", "__known", "__sum", "__tail", "__train", "__more", "__found")
     cols_in, keep, ddl = kept(df, keep, outputs)

@@ -245,7 +245,7 @@ def test_language_model_keeps_every_node(spark):
     words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(300)]  # deep nodes decide
     rows = [(k, " ".join(r.choices(words, k=50))) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    model = brute_ctw([t.encode() for d, t in rows if d % 5], [t.encode() for _, t in rows], 4)
+    model = brute_ctw([t.encode() for d, t in rows if d % 5], [t.encode() for _, t in rows], 5)
     off = {}
     for bits in (12, 22):
         got = {x["doc_id"]: x["score"] for x in ctw.score(df, F.col("doc_id") % 5 != 0, most_bits=bits).collect()}
