@@ -5,12 +5,14 @@ texts a backslash goes before each backslash, `#` and `<`, in roles also before
 template's marks and reading back is exact.
 
 Rows are dealt by conversation and sorted within partitions; batches stream through the assembler, which holds back
-only a batch's last conversation. Per batch it computes segment lengths, cumulative offsets and scatter indices in
+only a batch's last conversation; batches are cut at about 4 MB of text, as the index arrays weigh some 30 bytes for each
+of theirs. Per batch it computes segment lengths, cumulative offsets and scatter indices in
 numpy and copies headers, contents and end marks into one preallocated buffer that becomes the Arrow column as it is.
 A conversation becomes one value, so it has to fit in one (2 GB); nothing else is gathered.
 
 Defined results: null roles and texts are empty; turns go by turn (nulls first), then role, then text; repeated rows are
-repeated turns; rows with a null conv_id form one conversation without id; an empty table gives no rows; the loss mask
+repeated turns; rows with a null conv_id form one conversation without id; an empty table gives no rows; other columns
+are not read, whatever their names; a text longer than a batch is a batch of its own, and whole; the loss mask
 covers the texts of turns whose role is `assistant`, as code point ranges of the formatted text, escapes included.
 """
 
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import ship
+from ._util import ship, slices
 
 _SPECIAL = np.zeros(256, bool)
 _SPECIAL[list(b"\\#<")] = True
@@ -83,16 +85,14 @@ def assemble(batch: pa.Table, loss_role: str = "assistant") -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), formatted.cast(pa.string()), spans], names=["conv_id", "formatted", "loss"])
 
 
-def format_chats(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
+def format_chats(df: DataFrame, loss_role: str = "assistant", max_bytes: int = 4 << 20) -> DataFrame:
     """conv_id, formatted and loss (ranges) of every conversation of (conv_id, turn, role, text)."""
     ship(df.sparkSession)
     rows = df.select(F.col("conv_id").cast("long"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # batches whose rows are all of one conversation, the last one seen
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, "text", max_bytes):
             ids = b.column(0)
             last = ids[b.num_rows - 1]
             same = pc.is_null(ids) if not last.is_valid else pc.fill_null(pc.equal(ids, last), False)

@@ -212,9 +212,11 @@ def test_chat(spark):
     try:
         got = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
         digests = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(df)).collect()}
+        cut = {r["conv_id"]: r for r in chat.format_chats(df, max_bytes=40).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     none_first = lambda v: (v is not None, v if v is not None else 0)
+    assert cut == got
     assert set(got) == {r[0] for r in rows}
     for conv in got:
         turns = sorted((r for r in rows if r[0] == conv), key=lambda r: (none_first(r[1]), (r[2] is not None, r[2] or ""), (r[3] is not None, (r[3] or "").encode())))
