@@ -10,7 +10,8 @@ and 1 - w to go on; contexts that training never saw end the path.
 Every node is kept under its exact key. A first pass cuts the texts into slices (one task's texts, closed at 2^most_bits
 distinct grams) and writes each slice's distinct grams and its packed rows. The nodes of a gram of depth 2 and more share
 its last two context bytes, so grams dealt by those give all of their nodes within a task; depths 0 and 1 have at most
-65,536 nodes, which are broadcast. The distinct grams' code lengths are joined to the slices' grams, and a slice is scored
+65,536 nodes, which are broadcast. Two-byte contexts with more than a thousandth of all distinct grams (999 at most) are
+dealt by their third byte as well; their nodes of depth 2, 256 each, are broadcast with the others. The distinct grams' code lengths are joined to the slices' grams, and a slice is scored
 with its own grams at hand. So nothing held at once grows with the corpus, and no two nodes ever share a count.
 
 The base score is an add-one unigram word model over all training words. Word counts are shuffled by hash; the
@@ -156,6 +157,7 @@ class WordKeys:
 _PASS = "kind int, slice long, key long, n long, blob binary"  # kind 0 grams, 1 words, 2 packed rows
 _SLICE_BYTES = 64 << 20
 _LN2 = 0.6931471805599453
+_HOT = 1000  # contexts of two bytes with more than one in so many distinct grams are dealt by a third byte
 
 
 def _pack(b: pa.RecordBatch) -> bytes:
@@ -275,63 +277,74 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _to_top(depth: int):
-    """What a task's nodes of depth 2 (of depth 1 where that is the deepest) add to those of depth 1."""
+def _parts(key: np.ndarray, n: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Grams whose nodes are whole within the task from depth 2 on, and those of hot contexts, whole from depth 3 on."""
+    of = np.isin((key >> 8) & 0xFFFF, hot)
+    for which, first in ((~of, 2), (of, 3)):
+        if which.any():
+            yield key[which], n[which], first
+
+
+def _to_top(depth: int, hot: np.ndarray):
+    """What a task's lowest whole nodes (of depth 1 where that is the deepest) add to those of the depth below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = _gathered(batches)
-        if (n > 0).any():
-            x = _levels(key, n, depth, min(depth, 2))[-1]
-            ids, up = np.unique(_above(x.ids, 1), return_inverse=True)
-            cols = [ids, *(np.bincount(up, y, len(ids)) for y in (x.n0, x.n1, x.pw))]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["id", "n0", "n1", "split"])
+        for key, n, first in _parts(*_gathered(batches), hot):
+            if (n > 0).any():
+                x = _levels(key, n, depth, min(depth, first))[-1]
+                ids, up = np.unique(_above(x.ids, first - 1), return_inverse=True)
+                cols = [np.full(len(ids), first - 1, np.int32), ids, *(np.bincount(up, y, len(ids)) for y in (x.n0, x.n1, x.pw))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["depth", "id", "n0", "n1", "split"])
 
     return run
 
 
-def _top(nodes: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each of the 65,536 nodes of depth 1: weight to go on, sum so far, estimate where the path ends there or above."""
+def _top(nodes: pa.Table, depth: int) -> tuple[np.ndarray, ...]:
+    """For each of the 65,536 nodes of depth 1: weight to go on, sum so far, estimate where the path ends there or above;
+    then the ids of the hot contexts' nodes of depth 2, and the same of these."""
     go, base, end = np.zeros(1 << 16), np.zeros(1 << 16), np.full(1 << 16, 0.5)
-    if nodes.num_rows:
-        ids, n0, n1, split = (nodes.column(k).to_numpy() for k in ("id", "n0", "n1", "split"))
-        one = _Level(ids, n0, n1, split if depth > 1 else None)
-        root = _Level(_above(one.ids, 0), one.n0, one.n1, one.pw)
-        above = root.mix(np.ones(len(root.ids)), np.zeros(len(root.ids)))
-        every = np.arange(1 << 16) & 255
-        at = np.minimum(np.searchsorted(root.ids, every), len(root.ids) - 1)
-        end = np.where(root.ids[at] == every, above[2][at], 0.5)
-        go[one.ids], base[one.ids], end[one.ids] = one.mix(above[0][root.up], above[1][root.up])
-    return go, base, end
-
-
-def _code_lengths(depth: int, top):
+    if not nodes.num_rows:
+        return go, base, end, np.zeros(0, np.int64), *[np.zeros(0)] * 3
+    d, *cols = (nodes.column(k).to_numpy() for k in ("depth", "id", "n0", "n1", "split"))
+    two = _Level(*(x[d == 2] for x in cols))
+    ids, n0, n1, split = (np.concatenate((x[d == 1], y)) for x, y in zip(cols, (_above(two.ids, 1), two.n0, two.n1, two.pw), strict=True))
+    one = _Level(ids, n0, n1, split if depth > 1 else None)
+    root = _Level(_above(one.ids, 0), one.n0, one.n1, one.pw)
+    above = root.mix(np.ones(len(root.ids)), np.zeros(len(root.ids)))
+    every = np.arange(1 << 16) & 255
+    at = np.minimum(np.searchsorted(root.ids, every), len(root.ids) - 1)
+    end = np.where(root.ids[at] == every, above[2][at], 0.5)
+    go[one.ids], base[one.ids], end[one.ids] = one.mix(above[0][root.up], above[1][root.up])
+    return go, base, end, two.ids, *two.mix(go[_above(two.ids, 1)], base[_above(two.ids, 1)])
+
+
+def _code_lengths(depth: int, hot: np.ndarray, top):
     """log10 probability of each gram's byte after its context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = _gathered(batches)
-        if not len(key):
-            return
-        go, base, end = top.value
-        ends: list[tuple[np.ndarray, np.ndarray]] = []  # ids and estimates, from depth 2 down
-        if depth > 1 and (n > 0).any():
-            levels = _levels(key, n, depth, 2)[::-1]
-            here = go[_above(levels[0].ids, 1)], base[_above(levels[0].ids, 1)]
-            for k, x in enumerate(levels):
-                if k:
-                    here = here[0][levels[k - 1].up], here[1][levels[k - 1].up]
-                *here, stop = x.mix(*here)
-                ends.append((x.ids, stop))
-        total = np.zeros(len(key))
-        for j in range(8):
-            ids = ((key >> 8) << 8) | _node(key, j)
-            p = end[_above(ids, 1)]
-            for d, (known, stop) in enumerate(ends, 2):
-                want = _above(ids, d)
-                at = np.minimum(np.searchsorted(known, want), len(known) - 1)
-                p = np.where(known[at] == want, stop[at], p)
-            total += np.log10(np.where((key >> (7 - j)) & 1, p, 1 - p))
-        for k in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), pa.array(total[k : k + 100_000])], names=["key", "v"])
+        go, base, end, two, *of_two = top.value
+        for key, n, first in _parts(*_gathered(batches), hot):
+            ends: list[tuple[np.ndarray, np.ndarray]] = [(two, of_two[2])] if first == 3 and len(two) else []  # ids and estimates, from depth 2 down
+            if depth >= first and (n > 0).any():
+                levels = _levels(key, n, depth, first)[::-1]
+                at = _above(levels[0].ids, first - 1)
+                here = (go[at], base[at]) if first == 2 else [x[np.searchsorted(two, at)] for x in of_two[:2]]
+                for k, x in enumerate(levels):
+                    if k:
+                        here = here[0][levels[k - 1].up], here[1][levels[k - 1].up]
+                    *here, stop = x.mix(*here)
+                    ends.append((x.ids, stop))
+            total = np.zeros(len(key))
+            for j in range(8):
+                ids = ((key >> 8) << 8) | _node(key, j)
+                p = end[_above(ids, 1)]
+                for d, (known, stop) in enumerate(ends, 2):
+                    want = _above(ids, d)
+                    at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+                    p = np.where(known[at] == want, stop[at], p)
+                total += np.log10(np.where((key >> (7 - j)) & 1, p, 1 - p))
+            for k in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), pa.array(total[k : k + 100_000])], names=["key", "v"])
 
     return run
 
@@ -374,10 +387,14 @@ def score(df: DataFrame, train: Column, depth: int = 5, most_bits: int = 22, hea
     rows = df.select(*cols_in, F.col(f"`{text}`").alias("__text"), F.coalesce(train, F.lit(False)).alias("__train"))
     told = scratch.save(rows.mapInArrow(_tally(depth, 1 << most_bits), _PASS), "slices")
     counts = scratch.save(told.where("kind < 2").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    dealt = counts.where("kind = 0").select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(F.lit(65535).cast("long")))
-    tops = dealt.mapInArrow(_to_top(depth), "id long, n0 double, n1 double, split double").groupBy("id")
-    top = spark.sparkContext.broadcast(_top(tops.agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "split")]).toArrow(), depth))  # 65,536 rows at most
-    lengths = dealt.mapInArrow(_code_lengths(depth, top), "key long, v double")
+    part = lambda shift, mask: F.shiftright("key", shift).bitwiseAND(F.lit(mask).cast("long"))
+    per = counts.where("kind = 0").groupBy(part(8, 65535).alias("of")).agg(F.count("*").alias("n")).toArrow()  # 65,536 rows at most
+    many = per.column("n").to_numpy()
+    hot = np.sort(per.column("of").to_numpy()[many * _HOT > many.sum()]) if depth > 2 else np.zeros(0, np.int64)
+    dealt = counts.where("kind = 0").select("key", "n").repartition(part(8, 65535), F.when(part(8, 65535).isin(hot.tolist()), part(24, 255)))
+    tops = dealt.mapInArrow(_to_top(depth, hot), "depth int, id long, n0 double, n1 double, split double").groupBy("depth", "id")
+    top = spark.sparkContext.broadcast(_top(tops.agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "split")]).toArrow(), depth))  # 65,536 rows at most, and 256 a hot context
+    lengths = dealt.mapInArrow(_code_lengths(depth, hot, top), "key long, v double")
     pairs = told.where("kind = 0").select("slice", "key").join(lengths.hint("shuffle_hash"), "key").select(F.col("slice").alias("of"), "key", "v")
 
     words = counts.where("kind = 1").select("key", "n")

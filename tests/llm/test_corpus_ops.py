@@ -239,7 +239,7 @@ def test_language_model(spark):
     assert (none["n_known"], none["train_tokens"], none["base_score"]) == (0, 0, 0.0) and none["score"] < 0
 
 
-def test_language_model_keeps_every_node(spark):
+def test_language_model_keeps_every_node(spark, monkeypatch):
     """The registered depth and bits against brute force; few bits make more slices and change no score."""
     r = random.Random(3)
     words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(300)]  # deep nodes decide
@@ -247,9 +247,10 @@ def test_language_model_keeps_every_node(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     model = brute_ctw([t.encode() for d, t in rows if d % 5], [t.encode() for _, t in rows], 5)
     off = {}
-    for bits in (12, 22):
+    for bits, hot in ((12, 1000), (22, 1000), (22, 1), (22, 10**9)):  # few slices, many; as many hot contexts as there are, none, all
+        monkeypatch.setattr(ctw, "_HOT", hot)
         got = {x["doc_id"]: x["score"] for x in ctw.score(df, F.col("doc_id") % 5 != 0, most_bits=bits).collect()}
-        off[bits] = max(abs(got[d] - s) for (d, _), s in zip(rows, model, strict=True))
+        off[bits, hot] = max(abs(got[d] - s) for (d, _), s in zip(rows, model, strict=True))
     assert max(off.values()) < 1e-6, off
 
 
