@@ -42,21 +42,6 @@ _END = 0x0E6D  # the end token's key; words' keys are 64-bit hashes
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def table_bits(depth: int, most: int = 22) -> list[int]:
-    """log2 of the slots for each depth: all nodes of depths 0 and 1 have their own."""
-    return [min(8 * (d + 1), most - (depth - d) if d < depth else most) if d > 1 else 8 * (d + 1) for d in range(depth + 1)]
-
-
-def slots(d: int, ctx: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """The slot of nodes (context, partial byte) at depth d."""
-    key = (ctx.astype(np.uint64) << np.uint64(8)) | node.astype(np.uint64)
-    if bits >= 8 * (d + 1):
-        return key.astype(np.int64)
-    key = (key + np.uint64(d + 1)) * _MUL
-    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    return (key >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def grams(raw: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The packed (context, byte) of every byte of every closed text, and the texts' lengths."""
     pad = b"\0" * depth
@@ -73,51 +58,6 @@ def grams(raw: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], n
 
 
-class Tables:
-    """Per depth, each slot's KT estimate of a 1, its weight to stop, and whether training saw it. A model of bounded size
-    for callers that want one; score() does not use it."""
-
-    def __init__(self, depth: int, p: list[np.ndarray], w: list[np.ndarray], cache_bits: int = 20):
-        self.depth, self.p, self.w = depth, p, w
-        self.bits = [len(x).bit_length() - 1 for x in p]
-        self.cache_bits = cache_bits
-        self.keys = np.full(1 << cache_bits, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.vals = np.zeros(1 << cache_bits)
-
-    def log10_of(self, g: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's byte after its context."""
-        total = np.zeros(len(g))
-        x, ctx = g & np.uint64(255), g >> np.uint64(8)
-        for j in range(8):
-            node = (np.uint64(1) << np.uint64(j)) | (x >> np.uint64(8 - j))
-            p, have = np.full(len(g), 0.5), np.zeros(len(g), bool)
-            for d in range(self.depth, -1, -1):
-                at = slots(d, ctx & np.uint64((1 << (8 * d)) - 1), node, self.bits[d])
-                w, kt = self.w[d][at].astype(float), self.p[d][at].astype(float)
-                seen = w >= 0
-                p = np.where(seen, np.where(have, w * kt + (1 - w) * p, kt), p)
-                have |= seen
-            bit = ((x >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-            total += np.log10(np.where(bit, p, 1 - p))
-        return total
-
-    def score(self, raw: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
-        g, n = grams(raw, self.depth)
-        at = ((g * _MUL) >> np.uint64(64 - self.cache_bits)).astype(np.int64)
-        miss = self.keys[at] != g
-        out = self.vals[at]
-        if miss.any():
-            codes, distinct = pd.factorize(g[miss])
-            vals = np.concatenate([self.log10_of(distinct[k : k + 65536]) for k in range(0, len(distinct), 65536)])
-            out[miss] = vals[codes]
-            where = ((distinct * _MUL) >> np.uint64(64 - self.cache_bits)).astype(np.int64)
-            self.keys[where], self.vals[where] = distinct, vals  # of grams that share a place one stays, key and value
-            both = self.keys[where] != distinct
-            self.vals[where[~both]] = vals[~both]
-        return np.add.reduceat(out, np.cumsum(n) - n) if len(n) else np.zeros(0)
-
-
 class _Codes(dict):
     def __missing__(self, key):
         v = self[key] = len(self)

@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -254,15 +256,24 @@ def test_language_model_keeps_every_node(spark, monkeypatch):
     assert max(off.values()) < 1e-6, off
 
 
-def test_tables_are_bounded_and_probabilities_sum():
-    bits = ctw.table_bits(4, 22)
-    assert bits[:2] == [8, 16] and sum(1 << b for b in bits) < 1 << 23
+def test_language_model_probabilities_sum():
+    """Over all 256 bytes after a context, seen or not, hot or not."""
     r = np.random.default_rng(2)
-    t = ctw.Tables(2, [r.uniform(0.01, 0.99, 1 << b).astype(np.float32) for b in (8, 16, 12)], [np.where(r.random(1 << b) < 0.3, -1, r.random(1 << b)).astype(np.float32) for b in (8, 16, 12)])
-    for ctx in (0, 0x6162, 0xFFFF):
-        g = np.uint64(ctx << 8) + np.arange(256, dtype=np.uint64)
-        assert abs((10 ** t.log10_of(g)).sum() - 1) < 1e-9
-    assert t.score([b"ab", b"", b"ab"])[0] == t.score([b"ab"])[0]
+    seen = np.unique(r.integers(97, 101, (400, 4)) @ np.array([1 << 24, 1 << 16, 1 << 8, 1]))
+    for train in (r.integers(0, 5, len(seen)), np.zeros(len(seen), np.int64)):
+        for hot in (np.zeros(0, np.int64), np.array([0x6162, 0x6263])):
+            held = lambda key, n: pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+            rows = [*ctw._to_top(3, hot)(iter([held(seen, train)]))]
+            nodes = pa.Table.from_batches(rows) if rows else pa.table({"depth": pa.array([], pa.int32())})
+            top = SimpleNamespace(value=ctw._top(nodes, 3))
+            for ctx in (0x616162, 0x636263, 0x616364, 0, 0xFFFFFF):
+                every = (ctx << 8) + np.arange(256)
+                rest = seen[~np.isin(seen, every)]
+                n = dict(zip(seen.tolist(), train.tolist(), strict=True))
+                key = np.concatenate((every, rest))
+                got = pa.Table.from_batches(ctw._code_lengths(3, hot, top)(iter([held(key, np.array([n.get(k, 0) for k in key.tolist()]))])))
+                p = dict(zip(got.column("key").to_pylist(), got.column("v").to_pylist(), strict=True))
+                assert abs(sum(10 ** p[k] for k in every.tolist()) - 1) < 1e-9
 
 
 @pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
