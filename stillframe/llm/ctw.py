@@ -19,7 +19,8 @@ The base score is an add-one unigram word model over all training words. Word co
 which has no hot key left.
 
 Defined results: null text is empty: its end is its only token; rows with a null doc_id count as id remainder 0, so they
-train; repeated rows count and score each; without training rows N = 0 and V = 0; a kept
+train; repeated rows count and score each; without training rows N = 0 and V = 0; very long texts are read whole, in a
+slice of their own; an empty table gives no rows; a kept
 column named like an output gets `_in` appended to its name.
 """
 

@@ -11,7 +11,8 @@ Both passes are map-only over whole texts. The index of the benchmark is broadca
 merged per document, so memory stays bounded at any benchmark size.
 
 Defined results: null and empty texts have no words; items without words have no window; items with a null id hit words
-but are listed nowhere; repeated items count once; repeated documents get a row each; a kept
+but are listed nowhere; repeated items count once; repeated documents get a row each; very
+long texts are read whole, in a batch of their own; an empty benchmark hits nothing, an empty table gives no rows; a kept
 column named like an output gets `_in` appended to its name.
 """
 

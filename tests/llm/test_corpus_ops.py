@@ -256,6 +256,17 @@ def test_language_model_keeps_every_node(spark, monkeypatch):
     assert max(off.values()) < 1e-6, off
 
 
+def test_language_model_reads_long_texts_whole(spark):
+    r = random.Random(5)
+    long = " ".join(r.choices(["alpha", "beta", "gamma", "Delta"], k=12_000)) + " the very last words"
+    rows = [(1, "alpha beta"), (2, long), (3, ""), (4, "the last words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    model = brute_ctw([t.encode() for d, t in rows if d != 4], [t.encode() for _, t in rows], 2)
+    got = {x["doc_id"]: x for x in ctw.score(df, F.col("doc_id") != 4, depth=2, most_bits=6).collect()}
+    assert all(abs(got[d]["score"] - s) < 1e-6 * max(1, len(t)) for (d, t), s in zip(rows, model, strict=True))
+    assert (got[2]["n_tokens"], got[4]["n_known"]) == (12_005, 4)
+
+
 def test_language_model_probabilities_sum():
     """Over all 256 bytes after a context, seen or not, hot or not."""
     r = np.random.default_rng(2)
