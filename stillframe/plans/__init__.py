@@ -10,9 +10,15 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..errors import InvalidArgument
 
+#: Up to this place a page is taken as the first rows of all.
+TOP_ROWS = 10_000
+#: A block of a deeper page: this many low bits of the point id.
+BLOCK_BITS = 16
+
 
 def view_table(df: DataFrame, ts: Column, key: str, zone: str = "UTC") -> DataFrame:
     """Any frame as T; point ids by first appearance in time, ties by key. One group-by and a join on the key; the
@@ -42,8 +48,24 @@ def full_snapshot(t: DataFrame, ts: int) -> DataFrame:
 
 
 def snapshot_page(t: DataFrame, ts: int, offset: int, limit: int) -> DataFrame:
-    """Rows [max(0, offset), offset + limit) of the snapshot; limit <= 0 gives none."""
-    return t.where(F.col("ts") == ts).orderBy("point_id").offset(_count(offset)).limit(min(_count(limit), (1 << 31) - 1 - _count(offset)))
+    """Rows [max(0, offset), offset + limit) of the snapshot; limit <= 0 gives none.
+
+    Pages that end by TOP_ROWS are a top-k, whose tasks reserve room for two rows of every place up to the page's end.
+    For others the rows are counted by block of point ids first: the counts give each block's first place, and only
+    rows of the page's blocks are sorted, a block to a task. So t is evaluated twice, and no task grows with the offset.
+    """
+    start, end = max(0, offset), max(0, offset) + max(0, limit)
+    rows = t.where(F.col("ts") == ts)
+    if end <= TOP_ROWS:
+        return rows.orderBy("point_id").offset(start).limit(end - start)
+    start, end = (F.lit(min(n, (1 << 63) - 1)).cast("long") for n in (start, end))
+    rows = rows.withColumn("_block", F.shiftright("point_id", BLOCK_BITS))
+    upto = F.sum("_n").over(Window.orderBy("_block"))
+    blocks = rows.groupBy("_block").agg(F.count("*").alias("_n")).select("_block", (upto - F.col("_n")).alias("_from"), upto.alias("_to"))
+    blocks = F.broadcast(blocks.where((F.col("_from") < end) & (F.col("_to") > start)).select("_block", "_from"))
+    at = F.col("_from") + F.row_number().over(Window.partitionBy("_block").orderBy("point_id")) - 1
+    placed = rows.join(blocks, "_block").withColumn("_at", at)
+    return placed.where((F.col("_at") >= start) & (F.col("_at") < end)).drop("_block", "_from", "_at").orderBy("point_id")
 
 
 def _same_key(t: DataFrame, key) -> Column:

@@ -5,7 +5,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from stillframe import plans
 from stillframe.plans import registry
 
 DIR = os.environ.get("STILLFRAME_TEST_DIR", "/root/testdata/sf0.01")
@@ -40,3 +42,18 @@ def test_entry_imports(spark):
 
     assert set(registry.QUERIES) <= set(e.queries()) and e.entry(spark).schema is not None
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pages_anywhere(spark, tmp_path):
+    """A page far down or past the end reserves no room for the rows before it."""
+    ids = spark.range(200_000).select((F.col("id") * 7 % 200_000 + 1).alias("point_id"))
+    t = ids.select("point_id", F.lit(5).cast("long").alias("ts")).where("point_id % 3 = 0").unionByName(ids.select("point_id", F.lit(6).cast("long").alias("ts")))
+    t.repartition(5).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))  # Spark knows no row count that would let it drop the offset
+    want = list(range(3, 200_001, 3))
+    assert "TakeOrdered" not in plans.snapshot_page(t, 5, 1_000_000_000, 20)._jdf.queryExecution().executedPlan().toString()
+    for offset, limit in [(-7, 12), (9_990, 10), (9_990, 11), (21_840, 10), (66_650, 1 << 62), (1_000_000_000, 20), (1 << 70, 20), (30_000, -1), (-1, 1_000_000_000)]:
+        got = plans.snapshot_page(t, 5, offset, limit)
+        start = max(0, offset)
+        assert got.columns == t.columns and [r["point_id"] for r in got.collect()] == want[start : start + max(0, limit)], (offset, limit)
+    assert plans.snapshot_page(t, 7, 1_000_000_000, 20).collect() == []
